@@ -81,3 +81,25 @@ def with_sessions(body: str) -> str:
 def with_scored(body: str, extra_ctes: str = "") -> str:
     extra = ("," + extra_ctes) if extra_ctes else ""
     return "WITH " + SCORED_CTE + extra + "\n" + body
+
+
+def scorecard_sql(excluded: tuple[str, ...] = ()) -> str:
+    """The scorecard with the terms of excluded features left out (as functions.columns.scorecard)."""
+    if "ProductRelated" in excluded:
+        raw = "2.0E-2"
+    else:
+        raw = "CASE WHEN ProductRelated < 4 THEN 2.0E-2 WHEN ProductRelated < 7 THEN 1.2E-1 ELSE 5.2E-1 END"
+    if "VisitorType" not in excluded:
+        raw += " + CASE WHEN VisitorType = 'Returning_Visitor' THEN 4.0E-2 ELSE 0.0E0 END"
+        raw += " + CASE WHEN VisitorType = 'New_Visitor' THEN -2.0E-2 ELSE 0.0E0 END"
+    if "PageValues" not in excluded:
+        raw += " + PageValues / 2.0E2 * 2.5E-1"
+    if "BounceRates" not in excluded:
+        raw += " - coalesce(BounceRates, 0.0E0) * 1.5E-1"
+    if "Weekend" not in excluded:
+        raw += " + CASE WHEN Weekend THEN 1.0E-2 ELSE 0.0E0 END"
+    if "SpecialDay" not in excluded:
+        raw += " + SpecialDay * 4.0E-2"
+    if "Month" not in excluded:
+        raw += " + CASE WHEN Month IN ('Nov', 'Dec') THEN 5.0E-2 ELSE 0.0E0 END"
+    return f"GREATEST(1.0E-2, LEAST(9.5E-1, coalesce({raw}, 1.0E-2)))"

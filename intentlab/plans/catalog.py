@@ -751,3 +751,254 @@ def q_cv_summary(spark, sf):
     s = split_scored(spark, sf).where(~F.col("is_test"))
     folds = metrics.roc_auc(s, "label", "p", by=["fold"])
     return metrics.cv_summary(folds, "roc_auc")
+
+
+# --- exact preprocessing (fitted on the training part) ---------------------------------
+
+def _train(spark, sf):
+    return split_scored(spark, sf).where(~F.col("is_test"))
+
+
+def _cat_text_sql(c: str) -> str:
+    if c == "Weekend":
+        return "CASE WHEN Weekend THEN 'True' WHEN NOT Weekend THEN 'False' ELSE 'nan' END"
+    return f"CAST({c} AS VARCHAR)"
+
+
+_FILLS_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, (l[(n + 1) // 2] + l[(n + 2) // 2]) / 2 AS fill_value FROM "
+    f"(SELECT list_sort(list(CAST({c} AS DOUBLE)) FILTER (WHERE {c} IS NOT NULL)) AS l, count({c}) AS n "
+    f"FROM splitted WHERE NOT is_test)"
+    for c in S.NUMERIC_FEATURES)
+
+
+@register("impute_numeric", with_scored("SELECT feature, fill_value FROM fills",
+                                        SPLIT_SQL + f", fills AS ({_FILLS_SQL})"))
+def q_impute_numeric(spark, sf):
+    from ..operators.features import numeric_fill_values
+    fills = numeric_fill_values(_train(spark, sf), S.NUMERIC_FEATURES, "median")
+    return spark.createDataFrame(list(fills.items()), "feature string, fill_value double")
+
+
+_MEANS_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 OR stddev_pop(x) IS NULL THEN 1.0E0 "
+    f"ELSE stddev_pop(x) END AS scale FROM (SELECT coalesce(CAST({c} AS DOUBLE), "
+    f"(SELECT fill_value FROM fills WHERE feature = '{c}')) AS x FROM splitted WHERE NOT is_test)"
+    for c in S.NUMERIC_FEATURES)
+
+
+@register("standardise", with_scored(
+    "SELECT feature, round(mean, 9) AS mean, round(scale, 9) AS scale FROM stats",
+    SPLIT_SQL + f", fills AS ({_FILLS_SQL}), stats AS ({_MEANS_SQL})"))
+def q_standardise(spark, sf):
+    from ..operators.features import mean_and_scale, numeric_fill_values
+    train = _train(spark, sf)
+    fills = numeric_fill_values(train, S.NUMERIC_FEATURES, "median")
+    means, scales = mean_and_scale(train, S.NUMERIC_FEATURES, fills)
+    rows = [(c, means[c], scales[c]) for c in S.NUMERIC_FEATURES]
+    df = spark.createDataFrame(rows, "feature string, mean double, scale double")
+    return df.select("feature", F.round("mean", 9).alias("mean"), F.round("scale", 9).alias("scale"))
+
+
+_MODES_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, (SELECT txt FROM (SELECT {_cat_text_sql(c)} AS txt, "
+    f"CAST({c if c in S.INTEGER_COLUMNS else 'NULL'} AS DOUBLE) AS num, count(*) AS n FROM splitted "
+    f"WHERE NOT is_test AND {_cat_text_sql(c)} IS NOT NULL GROUP BY 1, 2) ORDER BY n DESC, num, txt LIMIT 1) AS mode_value"
+    for c in S.CATEGORICAL_FEATURES)
+
+
+@register("impute_mode", with_scored("SELECT feature, mode_value FROM modes", SPLIT_SQL + f", modes AS ({_MODES_SQL})"))
+def q_impute_mode(spark, sf):
+    from ..operators.features import mode_values
+    modes = mode_values(_train(spark, sf), S.CATEGORICAL_FEATURES)
+    return spark.createDataFrame(list(modes.items()), "feature string, mode_value string")
+
+
+_CATS_SQL = " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}' AS feature, {_cat_text_sql(c)} AS category FROM splitted WHERE NOT is_test"
+    for c in S.CATEGORICAL_FEATURES)
+_TEST_LONG_SQL = " UNION ALL ".join(
+    f"SELECT session_id, '{c}' AS feature, {_cat_text_sql(c)} AS category FROM splitted WHERE is_test"
+    for c in S.CATEGORICAL_FEATURES)
+
+
+@register("one_hot", with_scored(
+    """SELECT t.session_id, t.feature, CAST(v.slot AS INTEGER) AS slot, t.category
+    FROM test_long t JOIN vocab v ON t.feature = v.feature AND t.category = v.category""",
+    SPLIT_SQL + f", cats AS ({_CATS_SQL}), vocab AS (SELECT feature, category, "
+    "row_number() OVER (PARTITION BY feature ORDER BY category) - 1 AS slot FROM cats WHERE category IS NOT NULL), "
+    f"test_long AS ({_TEST_LONG_SQL})"))
+def q_one_hot(spark, sf):
+    from ..operators.features import build_preprocessor
+    s = split_scored(spark, sf)
+    model = build_preprocessor().fit(s.where(~F.col("is_test")))
+    idx_model = model.stages[2]
+    cats = S.CATEGORICAL_FEATURES
+    sizes = [len(lbls) for lbls in idx_model.labelsArray]
+    encoded = model.transform(s.where(F.col("is_test")))
+    stack = "stack({}, {}) as (feature, slot, category, n_labels)".format(
+        len(cats), ", ".join(f"'{c}', CAST(`_idx_{c}` AS INT), `_cat_{c}`, {n}" for c, n in zip(cats, sizes)))
+    return encoded.selectExpr(S.KEY, stack).where(F.col("slot") < F.col("n_labels")).drop("n_labels")
+
+
+# --- run log and ranking (runs derived from evaluations over the sessions) ---------------
+
+from ..oracle import scorecard_sql  # noqa: E402
+from ..operators import registry  # noqa: E402
+
+_VLONG_SQL = " UNION ALL ".join(
+    f"SELECT session_id, label, fold, '{name}' AS model_type, {scorecard_sql(tuple(ex))} AS p "
+    f"FROM splitted WHERE fold IS NOT NULL"
+    for name, ex in registry.SCORECARD_VARIANTS.items())
+
+RUNS_SQL = SPLIT_SQL + f""",
+vlong AS ({_VLONG_SQL}),
+vcm AS (
+  SELECT model_type, fold,
+         count(CASE WHEN label = 0 AND p <= 5.0E-1 THEN 1 END) AS tn,
+         count(CASE WHEN label = 0 AND p > 5.0E-1 THEN 1 END) AS fp,
+         count(CASE WHEN label = 1 AND p <= 5.0E-1 THEN 1 END) AS fn,
+         count(CASE WHEN label = 1 AND p > 5.0E-1 THEN 1 END) AS tp,
+         count(CASE WHEN p < 3.0E-1 THEN 1 END) AS flagged,
+         count(CASE WHEN p < 3.0E-1 AND label = 1 THEN 1 END) AS wasted
+  FROM vlong GROUP BY model_type, fold
+),
+{auc_sql("vlong", "model_type, fold")},
+runs AS (
+  SELECT md5(vcm.model_type || ':' || CAST(vcm.fold AS VARCHAR)) AS run_id, vcm.model_type, vcm.fold, auc.roc_auc,
+         coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + tn + fp + fn, 0), 0.0E0) AS accuracy,
+         coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0E0) AS precision,
+         coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0E0) AS recall,
+         coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0E0) AS f1,
+         coalesce(CAST(wasted AS DOUBLE) / nullif(flagged, 0), 0.0E0) AS wasted_discount_rate,
+         CAST(flagged AS DOUBLE) AS intervention_count,
+         'lower' AS wdr_mode, 3.0E-1 AS wdr_lower, 1.0E0 AS wdr_upper
+  FROM vcm JOIN auc ON vcm.model_type = auc.model_type AND vcm.fold = auc.fold
+),
+versions AS (SELECT CAST(row_number() OVER (ORDER BY fold, model_type) AS INTEGER) AS version, run_id FROM runs),
+vaucs AS (SELECT v.version, r.run_id, r.model_type, r.roc_auc FROM versions v JOIN runs r USING (run_id)
+          WHERE r.roc_auc IS NOT NULL),
+roles AS (
+  SELECT CASE WHEN rn = 1 THEN 'champion' ELSE 'challenger' END AS role, version, run_id, model_type, roc_auc
+  FROM (SELECT *, row_number() OVER (ORDER BY roc_auc DESC, version) AS rn FROM vaucs) WHERE rn <= 2
+)"""
+
+_RUN_COLS = ("run_id, model_type, fold, roc_auc, accuracy, precision, recall, f1, wasted_discount_rate, "
+             "intervention_count, wdr_mode, wdr_lower, wdr_upper")
+
+
+def derived_runs(spark, sf):
+    return registry.evaluation_runs(split_scored(spark, sf))
+
+
+def _logged_runs(spark, sf, with_validation_run: bool = False):
+    from ..config import scratch_path
+    path = scratch_path(spark, "run-log")
+    flat = derived_runs(spark, sf)
+    registry.append_runs(registry.to_run_log(flat), path)
+    if with_validation_run:
+        rep = quality.report_flat(quality.validation_report(sessions(spark, sf).drop(S.KEY)))
+        val = rep.select(
+            F.md5(F.lit("data_validation")).alias("run_id"),
+            F.lit("data_validation").alias("run_name"),
+            F.current_timestamp().alias("started_at"),
+            F.create_map(F.lit("model_type"), F.lit(""), F.lit("warnings"), F.col("warning_text")).alias("params"),
+            F.create_map(F.lit("row_count"), F.col("row_count").cast("double"),
+                         F.lit("duplicate_rows"), F.col("duplicate_rows").cast("double")).alias("metrics"),
+        )
+        registry.append_runs(val, path)
+    return registry.model_runs(registry.read_run_log(spark, path))
+
+
+@register("run_log_append", with_scored(f"SELECT {_RUN_COLS} FROM runs", RUNS_SQL))
+def q_run_log_append(spark, sf):
+    return _logged_runs(spark, sf).select(*[c.strip() for c in _RUN_COLS.split(",")])
+
+
+@register("run_log_scan", with_scored(f"SELECT {_RUN_COLS} FROM runs", RUNS_SQL))
+def q_run_log_scan(spark, sf):
+    return _logged_runs(spark, sf, with_validation_run=True).select(*[c.strip() for c in _RUN_COLS.split(",")])
+
+
+def _version_aucs(spark, sf):
+    runs = derived_runs(spark, sf)
+    versions = registry.number_versions(runs, ["fold", "model_type"])
+    return runs, registry.versions_join_runs(versions, runs)
+
+
+@register("versions_join_runs", with_scored("SELECT version, run_id, model_type, roc_auc FROM vaucs", RUNS_SQL))
+def q_versions_join_runs(spark, sf):
+    return _version_aucs(spark, sf)[1]
+
+
+@register("champion_challenger", with_scored("SELECT role, version, run_id, model_type, roc_auc FROM roles", RUNS_SQL))
+def q_champion_challenger(spark, sf):
+    return registry.champion_challenger(_version_aucs(spark, sf)[1])
+
+
+@register("run_history", with_scored(
+    """SELECT model_type, count(*) AS run_count, max(roc_auc) AS best_roc_auc,
+       arg_min(run_id, struct_pack(a := -roc_auc, r := run_id)) AS best_run_id
+    FROM runs WHERE model_type <> '' AND roc_auc IS NOT NULL GROUP BY model_type""", RUNS_SQL))
+def q_run_history(spark, sf):
+    return registry.run_history(derived_runs(spark, sf))
+
+
+@register("run_leaderboard", with_scored(
+    """SELECT r.run_id, r.model_type, r.roc_auc, ro.role FROM runs r LEFT JOIN roles ro USING (run_id)
+    WHERE r.fold = (SELECT max(fold) FROM runs)""", RUNS_SQL))
+def q_run_leaderboard(spark, sf):
+    runs, vaucs = _version_aucs(spark, sf)
+    roles = registry.champion_challenger(vaucs)
+    latest = runs.join(runs.agg(F.max("fold").alias("fold")), "fold")
+    return registry.run_leaderboard(latest, roles)
+
+
+_THRESH_TEXT_SQL = """CASE WHEN wdr_mode = 'range' AND wdr_lower IS NOT NULL AND wdr_upper IS NOT NULL
+              THEN printf('%.0f%%', wdr_lower * 100) || ' – ' || printf('%.0f%%', wdr_upper * 100)
+            WHEN wdr_lower IS NOT NULL THEN '< ' || printf('%.0f%%', wdr_lower * 100)
+            ELSE '< 30%' END AS threshold_text,
+       CASE WHEN wdr_mode = 'range' AND wdr_lower IS NOT NULL AND wdr_upper IS NOT NULL
+              THEN 'Wasted Discount (' || printf('%.0f%%', wdr_lower * 100) || '–' || printf('%.0f%%', wdr_upper * 100) || ')'
+            WHEN wdr_lower IS NOT NULL THEN 'Wasted Discount (< ' || printf('%.0f%%', wdr_lower * 100) || ')'
+            ELSE 'Wasted Discount' END AS wdr_label"""
+
+
+@register("alias_details", with_scored(
+    f"""SELECT ro.role, ro.version, ro.run_id, coalesce(ro.model_type, '—') AS model_name,
+       coalesce(ro.roc_auc, 0.0E0) AS roc_auc, r.f1, r.precision, r.wasted_discount_rate, r.intervention_count,
+       {_THRESH_TEXT_SQL}
+    FROM roles ro LEFT JOIN runs r USING (run_id)""", RUNS_SQL))
+def q_alias_details(spark, sf):
+    runs, vaucs = _version_aucs(spark, sf)
+    return registry.alias_details(registry.champion_challenger(vaucs), runs)
+
+
+@register("threshold_text", with_scored(f"SELECT run_id, {_THRESH_TEXT_SQL} FROM runs", RUNS_SQL))
+def q_threshold_text(spark, sf):
+    runs = derived_runs(spark, sf)
+    return runs.select(
+        "run_id",
+        C.threshold_text("wdr_mode", "wdr_lower", "wdr_upper", F.lit("lower"), F.lit(0.30), F.lit(0.70))
+        .alias("threshold_text"),
+        C.wdr_label("wdr_mode", "wdr_lower", "wdr_upper").alias("wdr_label"),
+    )
+
+
+_ALL_LONG_SQL = " UNION ALL ".join(
+    f"SELECT session_id, '{name}' AS model_type, {scorecard_sql(tuple(ex))} AS p FROM splitted"
+    for name, ex in registry.SCORECARD_VARIANTS.items())
+
+
+@register("champion_challenger_compare", with_scored(
+    f"""SELECT champion_intervene, challenger_intervene, count(*) AS sessions FROM (
+      SELECT a.session_id, max(CASE WHEN ro.role = 'champion' THEN a.p < 3.0E-1 END) AS champion_intervene,
+             max(CASE WHEN ro.role = 'challenger' THEN a.p < 3.0E-1 END) AS challenger_intervene
+      FROM all_long a JOIN roles ro ON a.model_type = ro.model_type GROUP BY a.session_id)
+    GROUP BY 1, 2""", RUNS_SQL + f", all_long AS ({_ALL_LONG_SQL})"))
+def q_champion_challenger_compare(spark, sf):
+    s = split_scored(spark, sf)
+    runs, vaucs = _version_aucs(spark, sf)
+    roles = registry.champion_challenger(vaucs)
+    long = registry.variant_scores(s.withColumn("fold", F.lit(0))).select(S.KEY, "model_type", "p")
+    return registry.compare_decisions(long, roles)
