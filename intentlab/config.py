@@ -61,3 +61,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     except Exception:  # pragma: no cover - conf always present in practice
         return 200
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet under the shared folder and read it back.
+
+    Cuts the lineage (a lost executor recomputes from this table, not from
+    the raw joins) and gives later passes a stable, deterministic input.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

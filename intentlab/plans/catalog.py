@@ -1002,3 +1002,169 @@ def q_champion_challenger_compare(spark, sf):
     roles = registry.champion_challenger(vaucs)
     long = registry.variant_scores(s.withColumn("fold", F.lit(0))).select(S.KEY, "model_type", "p")
     return registry.compare_decisions(long, roles)
+
+
+# --- models (Spark ML; no SQL equivalent: rows-only checks plus invariant tests) ----------
+
+def _ml_split(spark, sf):
+    from ..config import materialize
+    labeled = prepare.project_features(sessions(spark, sf))
+    return materialize(split.assign_split(labeled, "label"), "ml-split")
+
+
+def _fit_eval(spark, sf, name: str, overrides: dict | None = None):
+    from ..operators import models
+    s = _ml_split(spark, sf)
+    train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    params = models.model_params(overrides)[name]
+    model = models.build_pipeline(name, params).fit(train)
+    return model, models.score(model, test), test
+
+
+def _holdout_row(spark, sf, name):
+    from ..operators import models
+    _, scored_test, _ = _fit_eval(spark, sf, name)
+    return models.evaluate_holdout(scored_test).select(F.lit(name).alias("model_type"), "*")
+
+
+@register("train_logistic")
+def q_train_logistic(spark, sf):
+    return _holdout_row(spark, sf, "LR_baseline")
+
+
+@register("train_tree")
+def q_train_tree(spark, sf):
+    return _holdout_row(spark, sf, "DT_medium")
+
+
+@register("train_forest")
+def q_train_forest(spark, sf):
+    return _holdout_row(spark, sf, "RF_baseline")
+
+
+@register("train_boosted")
+def q_train_boosted(spark, sf):
+    return _holdout_row(spark, sf, "XGBoost")
+
+
+@register("preprocess_pipeline")
+def q_preprocess_pipeline(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    from ..operators.features import build_preprocessor
+    s = _ml_split(spark, sf)
+    m = build_preprocessor().fit(s.where(~F.col("is_test")))
+    return m.transform(s.where(F.col("is_test"))).select(S.KEY, vector_to_array("features").alias("features"))
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf):
+    from ..operators import models
+    s = _ml_split(spark, sf)
+    folds = models.cross_validate("LR_baseline", models.model_params()["LR_baseline"], s.where(~F.col("is_test")))
+    return folds.select(F.lit("LR_baseline").alias("model_type"), "fold", "auc")
+
+
+@register("evaluate_holdout")
+def q_evaluate_holdout(spark, sf):
+    _, scored_test, _ = _fit_eval(spark, sf, "LR_baseline")
+    return metrics.classification_report(scored_test, "label", "prediction")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    from ..operators import models
+    model, scored_test, _ = _fit_eval(spark, sf, "DT_medium")
+    return models.feature_importance(model, scored_test)
+
+
+@register("importance_names")
+def q_importance_names(spark, sf):
+    from ..operators import models
+    from ..operators.features import feature_names
+    model, scored_test, _ = _fit_eval(spark, sf, "DT_medium")
+    names = feature_names(scored_test)
+    imp = models.feature_importance(model, scored_test)
+    slots = spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
+    return slots.join(imp, "feature").select("slot", "feature", "importance")
+
+
+@register("score_batch_model")
+def q_score_batch_model(spark, sf):
+    model, scored_test, _ = _fit_eval(spark, sf, "LR_baseline")
+    return decide.with_decisions(scored_test, model_name="LR_baseline")
+
+
+@register("model_save_load")
+def q_model_save_load(spark, sf):
+    from pyspark.ml import PipelineModel
+    from ..config import scratch_path
+    from ..operators import models
+    model, scored_test, test = _fit_eval(spark, sf, "DT_medium")
+    path = scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    again = models.score(PipelineModel.load(path), test)
+    a = scored_test.select(S.KEY, F.col("p").alias("p_before"))
+    b = again.select(S.KEY, F.col("p").alias("p_after"))
+    return a.join(b, S.KEY).withColumn("equal", F.col("p_before") == F.col("p_after"))
+
+
+@register("train_all")
+def q_train_all(spark, sf):
+    from ..config import scratch_path
+    from .training import train_all
+    res = train_all(spark, sessions(spark, sf), scratch_path(spark, "run-log"),
+                    model_names=["LR_baseline", "DT_medium"])
+    return res.leaderboard
+
+
+# --- streaming --------------------------------------------------------------------------
+
+@register("stream_score_sessions", with_decided(
+    """SELECT session_id, purchase_probability, no_purchase_probability, prediction, intervene,
+       intervention_threshold, model_name, confidence FROM decided"""))
+def q_stream_score_sessions(spark, sf):
+    from ..config import scratch_path
+    from ..streaming.scoring import stream_score_sessions
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
+    sessions(spark, sf).write.parquet(src)
+    stream_score_sessions(spark, src, sink, ckpt).awaitTermination()
+    return spark.read.parquet(sink).select(
+        S.KEY, "purchase_probability", "no_purchase_probability", "prediction", "intervene",
+        "intervention_threshold", "model_name", "confidence")
+
+
+@register("stream_threshold_reload")
+def q_stream_threshold_reload(spark, sf):
+    from ..config import scratch_path
+    from ..streaming.scoring import stream_with_threshold_reload
+    src, sink, ckpt, thr = (scratch_path(spark, n) for n in ("t2-src", "t2-sink", "t2-ckpt", "t2-threshold"))
+    s = split_scored(spark, sf).drop("p", "label", "fold")
+    registry.write_threshold(spark, thr, "lower", 0.30, 0.70)
+    s.where(F.col("is_test")).drop("is_test").write.parquet(f"{src}/part=1")
+    stream_with_threshold_reload(spark, src, sink, ckpt, thr).awaitTermination()
+    registry.write_threshold(spark, thr, "range", 0.30, 0.70)
+    s.where(~F.col("is_test")).drop("is_test").write.parquet(f"{src}/part=2")
+    stream_with_threshold_reload(spark, src, sink, ckpt, thr).awaitTermination()
+    return spark.read.parquet(sink).select(S.KEY, "purchase_probability", "intervene", "threshold_mode", "batch_id")
+
+
+# --- fingerprints -----------------------------------------------------------------------
+
+_FP_COLS = [S.KEY, "Administrative", "Informational", "ProductRelated", "Month", "VisitorType",
+            "OperatingSystems", "Browser", "Region", "TrafficType", "Weekend", S.TARGET]
+
+
+@register("dataset_fingerprint", with_sessions(
+    "SELECT count(*) AS rows, CAST(CAST(sum(CAST(('0x' || substr(md5(concat_ws(chr(1), "
+    + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in _FP_COLS)
+    + ")), 1, 15)) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS fingerprint FROM sessions"))
+def q_dataset_fingerprint(spark, sf):
+    from ..sources.files import table_fingerprint
+    fp = table_fingerprint(sessions(spark, sf), _FP_COLS)
+    return fp.select("rows", F.col("fingerprint").cast("string").alias("fingerprint"))
+
+
+@register("file_fingerprint")
+def q_file_fingerprint(spark, sf):
+    from ..sources.files import file_fingerprint
+    return file_fingerprint(spark, f"{sf.rstrip('/')}/orders.parquet").select("md5", "size")
