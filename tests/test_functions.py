@@ -21,13 +21,15 @@ def test_intervene_lower_is_strict_and_range_inclusive(spark):
 
 
 def test_confidence_buckets_strict(spark):
-    df = _rows(spark, [0.0, 0.15, 0.149, 0.35, 0.5, 0.65, 0.651, 0.85, 0.851, 1.0])
-    got = {r.p: r.c for r in df.select("p", C.confidence_bucket("p").alias("c")).collect()}
-    assert got[0.0] == "High" and got[1.0] == "High"
-    assert got[0.15] == "Medium"  # |0.15 - 0.5| = 0.35 is not > 0.35
-    assert got[0.149] == "High"
-    assert got[0.35] == "Low" and got[0.65] == "Low"  # 0.15 is not > 0.15
-    assert got[0.651] == "Medium" and got[0.851] == "High"
+    vals = [0.0, 0.15, 0.149, 0.35, 0.5, 0.65, 0.651, 0.85, 0.851, 1.0, 0.2, 0.8]
+    got = {r.p: r.c for r in _rows(spark, vals).select("p", C.confidence_bucket("p").alias("c")).collect()}
+
+    def ref(p):  # the rule evaluated in Python, floating point included
+        gap = abs(p - 0.5)
+        return "High" if gap > 0.35 else "Medium" if gap > 0.15 else "Low"
+
+    assert got == {v: ref(v) for v in vals}
+    assert got[0.5] == "Low" and got[1.0] == "High" and got[0.8] == "Medium"
 
 
 def test_predicted_class_tie_goes_to_zero(spark):

@@ -59,7 +59,8 @@ def test_purchase_rate_warning_and_duplicates(spark):
 
 
 def test_drop_duplicates_keeps_smallest_key_and_nulls_equal(spark):
-    rows = [_session(10, Weekend=None), _session(3, Weekend=None), _session(7, Month="Nov")]
+    rows = [_session(10, Weekend=None, Revenue=False), _session(3, Weekend=None, Revenue=False),
+            _session(7, Month="Nov", Revenue=False)]
     out = prepare.drop_duplicates(_frame(spark, rows)).orderBy(S.KEY).collect()
     assert [r[S.KEY] for r in out] == [3, 7]
 

@@ -26,10 +26,10 @@ def test_threshold_reload_between_batches(spark):
     s = load_sessions(spark, SF_SMALL)
     src, sink, ckpt, thr = (scratch_path(spark, n) for n in ("r-src", "r-sink", "r-ckpt", "r-thr"))
     registry.write_threshold(spark, thr, "lower", 0.30, 0.70)
-    s.where("session_id % 2 = 0").write.parquet(f"{src}/a")
+    s.where("session_id % 2 = 0").write.parquet(f"{src}/part=1")
     stream_with_threshold_reload(spark, src, sink, ckpt, thr).awaitTermination()
     registry.write_threshold(spark, thr, "range", 0.30, 0.70)
-    s.where("session_id % 2 = 1").write.parquet(f"{src}/b")
+    s.where("session_id % 2 = 1").write.parquet(f"{src}/part=2")
     stream_with_threshold_reload(spark, src, sink, ckpt, thr).awaitTermination()
     out = spark.read.parquet(sink)
     assert out.count() == s.count()
