@@ -107,7 +107,8 @@ def exact_quantile_ranks(n: Column, q: float = 0.5):
 
 
 def exact_quantiles(long_df: DataFrame, key: str, value: str, qs: Sequence[float] = (0.5,),
-                    midpoint: str = "mean", n_buckets: int | None = None) -> DataFrame:
+                    midpoint: str = "mean", n_buckets: int | None = None,
+                    bucket: Column | None = None) -> DataFrame:
     """Exact quantiles of ``value`` per ``key`` (long form), nulls ignored.
 
     Equal values are first counted (a value that holds a third of the rows
@@ -115,10 +116,15 @@ def exact_quantiles(long_df: DataFrame, key: str, value: str, qs: Sequence[float
     Linear interpolation between neighbouring ranks, as numpy/sklearn and
     ``percentile_cont``. ``midpoint="mean"`` takes the median of an even
     count as (a + b) / 2 like numpy; "interpolate" as a + (b - a) / 2.
+    ``bucket`` may give a bucket expression monotone in ``value`` (e.g.
+    fixed-width bins of a bounded score), which saves the quantile pass.
     Returns one row per key: key, n, q_<i> columns.
     """
     v = long_df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    cum = prefix_sums(v, [value], ["_c"], by=[key], n_buckets=n_buckets)
+    if bucket is not None:
+        cum = prefix_sums(v.withColumn("_fb", bucket), [value], ["_c"], by=[key], bucket="_fb").drop("_fb")
+    else:
+        cum = prefix_sums(v, [value], ["_c"], by=[key], n_buckets=n_buckets)
     totals = v.groupBy(key).agg(F.sum("_c").alias("_n"))
     cum = cum.join(totals, key).withColumn("_lo_rank", F.col("_c_cum") - F.col("_c") + 1)
     aggs = []

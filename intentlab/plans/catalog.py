@@ -79,8 +79,13 @@ splitted AS (
 
 
 def split_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored sessions with label, hold-out flag and fold, written once to the
+    shared folder: the queries built on it make several passes (quantile
+    bounds, then the ordered pass), and each pass then starts from this
+    table instead of re-running the joins."""
+    from ..config import materialize
     s = scored(spark, sf).withColumn("label", C.target_int(S.TARGET))
-    return split.assign_split(s, "label")
+    return materialize(split.assign_split(s, "label"), "split-scored")
 
 
 def auc_sql(source: str, group: str | None = None) -> str:
