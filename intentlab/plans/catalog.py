@@ -1185,3 +1185,41 @@ def q_dataset_fingerprint(spark, sf):
 def q_file_fingerprint(spark, sf):
     from ..sources.files import file_fingerprint
     return file_fingerprint(spark, f"{sf.rstrip('/')}/orders.parquet").select("md5", "size")
+
+
+# --- configuration applied to the data (S9, M14) ------------------------------------------
+
+@register("threshold_config_rw", with_scored(
+    """SELECT session_id, p BETWEEN 3.0E-1 AND 7.0E-1 AS intervene, 'range' AS threshold_mode,
+       3.0E-1 AS intervention_threshold FROM scored"""))
+def q_threshold_config_rw(spark, sf):
+    """Persist a threshold config, restore it, and score every session with it."""
+    from ..config import scratch_path
+    path = scratch_path(spark, "threshold")
+    registry.write_threshold(spark, path, "range", 0.30, 0.70)
+    t = registry.read_threshold(spark, path)
+    d = decide.with_decisions(scored(spark, sf), threshold=t)
+    return d.select(S.KEY, "intervene", F.lit(t["mode"]).alias("threshold_mode"), "intervention_threshold")
+
+
+OVERRIDES_EXAMPLE = {
+    "_threshold": {"mode": "range", "lower": 0.2, "upper": 0.6},
+    "_preprocessor": {"drop_duplicates": True},
+}
+
+
+@register("override_params", with_scored(
+    f"""SELECT coalesce(CAST(count(CASE WHEN p BETWEEN 2.0E-1 AND 6.0E-1 AND Revenue THEN 1 END) AS DOUBLE)
+                       / nullif(count(CASE WHEN p BETWEEN 2.0E-1 AND 6.0E-1 THEN 1 END), 0), 0.0E0)
+              AS wasted_discount_rate,
+       count(CASE WHEN p BETWEEN 2.0E-1 AND 6.0E-1 THEN 1 END) AS intervention_count
+    FROM (SELECT min(session_id) AS session_id, {_BUSINESS}, min(p) AS p FROM scored GROUP BY {_BUSINESS})"""))
+def q_override_params(spark, sf):
+    """The _threshold and _preprocessor override sections applied to an evaluation."""
+    from ..operators import models
+    pre = models.preprocessor_options(OVERRIDES_EXAMPLE)
+    thr = models.threshold_options(OVERRIDES_EXAMPLE)
+    s = sessions(spark, sf)
+    if pre["drop_duplicates"]:
+        s = prepare.drop_duplicates(s)
+    return decide.realised_wasted_rate(s.withColumn("p", C.scorecard()), threshold=thr)
