@@ -177,17 +177,26 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def cross_validate(name: str, params: dict, train: DataFrame, preprocessing: dict | None = None,
-                   folds: int = S.CV_FOLDS, fold_col: str = "fold") -> DataFrame:
+                   folds: int = S.CV_FOLDS, fold_col: str = "fold", parallelism: int = 1) -> DataFrame:
     """AUC of each fold, the whole pipeline refitted on the other folds.
 
-    Fits run one after another (each fit is itself a distributed job);
-    returns a (fold, auc) frame for ``metrics.cv_summary``.
+    Each fit is itself a distributed job; ``parallelism`` > 1 submits that
+    many fold fits at once from driver threads (like CrossValidator's
+    parallelism). Returns a (fold, auc) frame for ``metrics.cv_summary``.
     """
-    parts = []
-    for k in range(folds):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(k: int) -> DataFrame:
         model = build_pipeline(name, params, preprocessing).fit(train.where(F.col(fold_col) != k))
         held = score(model, train.where(F.col(fold_col) == k))
-        parts.append(metrics.roc_auc(held, "label", "p").select(F.lit(k).alias("fold"), F.col("roc_auc").alias("auc")))
+        auc = metrics.roc_auc(held, "label", "p").select(F.lit(k).alias("fold"), F.col("roc_auc").alias("auc"))
+        return auc
+
+    if parallelism > 1:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            parts = list(pool.map(one, range(folds)))
+    else:
+        parts = [one(k) for k in range(folds)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -124,7 +124,18 @@ def exact_quantiles(long_df: DataFrame, key: str, value: str, qs: Sequence[float
     fixed-width bins of a bounded score), which saves the quantile pass.
     Returns one row per key: key, n, q_<i> columns.
     """
-    v = long_df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    return quantiles_from_counts(value_counts(long_df, key, value), key, value, qs, midpoint, n_buckets, bucket)
+
+
+def value_counts(long_df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, _c): how often each non-null value occurs per key."""
+    return long_df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def quantiles_from_counts(v: DataFrame, key: str, value: str, qs: Sequence[float] = (0.5,),
+                          midpoint: str = "mean", n_buckets: int | None = None,
+                          bucket: Column | None = None) -> DataFrame:
+    """``exact_quantiles`` over a ``value_counts`` table (which callers may cache)."""
     if bucket is not None:
         cum = prefix_sums(v.withColumn("_fb", bucket), [value], ["_c"], by=[key], bucket="_fb").drop("_fb")
     else:

@@ -178,20 +178,35 @@ def alias_details(roles: DataFrame, runs: DataFrame, live_threshold: dict | None
     )
 
 
-def compare_decisions(long_scores: DataFrame, roles: DataFrame, threshold: dict | None = None) -> DataFrame:
+def compare_decisions(scores: DataFrame, roles: DataFrame, threshold: dict | None = None,
+                      score_map: str = "scores") -> DataFrame:
     """The same sessions under champion and challenger; counts per decision pair.
 
-    ``long_scores`` is (key, model_type, p); ``roles`` has at most two rows
-    (bounded broadcast). One shuffle by key pairs the two decisions.
+    ``scores`` holds one row per session with a ``map<model_type, p>`` of
+    every candidate's score; the roles become a one-row frame (champion and
+    challenger model types) attached to every row, so each session picks
+    its two scores in place: no shuffle by session, only the final tiny
+    aggregation. Without a challenger its decision is null.
     """
     t = {**S.SCORING_THRESHOLD, **(threshold or {})}
-    flag = C.intervene("p", t["mode"], t["lower"], t["upper"])
-    j = long_scores.join(F.broadcast(roles.select("model_type", "role")), "model_type")
-    per = j.groupBy(S.KEY).agg(
-        F.max(F.when(F.col("role") == "champion", flag)).alias("champion_intervene"),
-        F.max(F.when(F.col("role") == "challenger", flag)).alias("challenger_intervene"),
+    picked = roles.agg(
+        F.max(F.when(F.col("role") == "champion", F.col("model_type"))).alias("_champ"),
+        F.max(F.when(F.col("role") == "challenger", F.col("model_type"))).alias("_chal"),
     )
-    return per.groupBy("champion_intervene", "challenger_intervene").agg(F.count(F.lit(1)).alias("sessions"))
+    j = scores.join(F.broadcast(picked), how="left_outer", on=F.lit(True))
+    pc = F.element_at(F.col(score_map), F.col("_champ"))
+    pl = F.element_at(F.col(score_map), F.col("_chal"))
+    return j.groupBy(
+        C.intervene(pc, t["mode"], t["lower"], t["upper"]).alias("champion_intervene"),
+        C.intervene(pl, t["mode"], t["lower"], t["upper"]).alias("challenger_intervene"),
+    ).agg(F.count(F.lit(1)).alias("sessions"))
+
+
+def variant_score_map(df: DataFrame, variants: dict | None = None) -> DataFrame:
+    """Key + ``scores`` map of every scorecard variant's p (one row per session)."""
+    vs = variants or SCORECARD_VARIANTS
+    m = F.create_map(*[x for name, ex in vs.items() for x in (F.lit(name), C.scorecard(excluded=tuple(ex)))])
+    return df.select(S.KEY, m.alias("scores"))
 
 
 # --- threshold configuration (S9) --------------------------------------------------------

@@ -1017,8 +1017,7 @@ def q_champion_challenger_compare(spark, sf):
     s = split_scored(spark, sf)
     runs, vaucs = _version_aucs(spark, sf)
     roles = registry.champion_challenger(vaucs)
-    long = registry.variant_scores(s.withColumn("fold", F.lit(0))).select(S.KEY, "model_type", "p")
-    return registry.compare_decisions(long, roles)
+    return registry.compare_decisions(registry.variant_score_map(s), roles)
 
 
 # --- models (Spark ML; no SQL equivalent: rows-only checks plus invariant tests) ----------
