@@ -157,15 +157,14 @@ def score_box_stats(decided: DataFrame, prob: str = "purchase_probability", cls:
     # at most ~10 distinct 4-place values each, so no quantile pass is needed
     fixed_bins = F.least(F.greatest(F.floor(F.col("_v") * 1024), F.lit(0)), F.lit(1023)).cast("int")
     q = exact_quantiles(long, "predicted_class", "_v", (0.25, 0.5, 0.75), midpoint="interpolate", bucket=fixed_bins)
-    mm = long.groupBy("predicted_class").agg(F.min("_v").alias("p_min"), F.max("_v").alias("p_max"))
-    return q.join(mm, "predicted_class").select(
+    return q.select(
         "predicted_class",
         F.col("n").alias("sessions"),
-        "p_min",
+        F.col("v_min").alias("p_min"),
         F.col("q_0").alias("p_q1"),
         F.col("q_1").alias("p_median"),
         F.col("q_2").alias("p_q3"),
-        "p_max",
+        F.col("v_max").alias("p_max"),
     )
 
 

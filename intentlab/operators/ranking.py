@@ -150,8 +150,9 @@ def quantiles_from_counts(v: DataFrame, key: str, value: str, qs: Sequence[float
         aggs.append(F.max(F.when(at_lo, F.col(value))).alias(f"_lo{i}"))
         aggs.append(F.max(F.when(at_hi, F.col(value))).alias(f"_hi{i}"))
         aggs.append(F.first(frac).alias(f"_f{i}"))
-    picked = cum.groupBy(key).agg(F.first("_n").alias("n"), *aggs)
-    sel = [F.col(key), F.col("n")]
+    picked = cum.groupBy(key).agg(F.first("_n").alias("n"), F.min(value).alias("v_min"),
+                                  F.max(value).alias("v_max"), *aggs)
+    sel = [F.col(key), F.col("n"), F.col("v_min"), F.col("v_max")]
     for i, q in enumerate(qs):
         lo, hi, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
         if q == 0.5 and midpoint == "mean":  # the mean of the two middle values, as numpy's median
