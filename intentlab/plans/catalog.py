@@ -905,7 +905,11 @@ _RUN_COLS = ("run_id, model_type, fold, roc_auc, accuracy, precision, recall, f1
 
 
 def derived_runs(spark, sf):
-    return registry.evaluation_runs(split_scored(spark, sf))
+    """The evaluation runs, written once (as a run log is): the ranking
+    queries then read a table of one row per run instead of re-running the
+    grouped evaluation in each branch of their plans."""
+    from ..config import materialize
+    return materialize(registry.evaluation_runs(split_scored(spark, sf)), "derived-runs")
 
 
 def _logged_runs(spark, sf, with_validation_run: bool = False):
