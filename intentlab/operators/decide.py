@@ -140,7 +140,7 @@ def thresholds_per_session(decided: DataFrame, prob: str = "purchase_probability
     return decided.select(
         S.KEY,
         prob,
-        F.size(flagged_at).alias("flagged_thresholds"),
+        F.size(flagged_at).cast("long").alias("flagged_thresholds"),
         F.array_min(flagged_at).alias("first_flag_threshold"),
     )
 

@@ -413,7 +413,7 @@ def q_score_histogram(spark, sf):
     return decide.score_histogram(decided(spark, sf))
 
 
-_TS = ", ".join(f"({t!r})" for t in decide.SENSITIVITY_THRESHOLDS)
+_TS = ", ".join(f"(CAST({t!r} AS DOUBLE))" for t in decide.SENSITIVITY_THRESHOLDS)
 
 
 @register("threshold_sensitivity", with_decided(
@@ -510,7 +510,8 @@ def q_check_all_null_columns(spark, sf):
     c = quality.check_columns(sessions(spark, sf))
     arr = F.filter(F.array(*[F.when(F.col(f"non_null_{x}") == 0, F.lit(x)) for x in quality.EXPECTED]),
                    lambda v: v.isNotNull())
-    return c.select(F.size(arr).alias("fully_null_count"), F.array_join(arr, ",").alias("fully_null_columns"))
+    return c.select(F.size(arr).cast("long").alias("fully_null_count"),
+                    F.array_join(arr, ",").alias("fully_null_columns"))
 
 
 @register("check_purchase_rate", with_sessions(
@@ -556,8 +557,8 @@ SELECT len(errs) = 0 AS passed, array_to_string(errs, '; ') AS error_text, array
        row_count, purchase_rate, duplicate_rows, columns_with_nulls
 FROM (
   SELECT row_count, round(rate, 4) AS purchase_rate, duplicate_rows,
-         ({" + ".join(f"CASE WHEN non_null_{c} < row_count THEN 1 ELSE 0 END" for c in S.ALL_FEATURES + [S.TARGET])})
-           AS columns_with_nulls,
+         CAST({" + ".join(f"CASE WHEN non_null_{c} < row_count THEN 1 ELSE 0 END" for c in S.ALL_FEATURES + [S.TARGET])}
+           AS BIGINT) AS columns_with_nulls,
          list_filter([CASE WHEN row_count < 500 THEN printf('Too few rows: %d (minimum 500)', row_count) END,
                       CASE WHEN row_count >= 500 AND len({_FULLY_NULL}) > 0
                            THEN 'Columns are entirely null: [' || array_to_string(list_transform({_FULLY_NULL}, lambda x: '''' || x || ''''), ', ') || ']' END],
