@@ -177,13 +177,16 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def cross_validate(name: str, params: dict, train: DataFrame, preprocessing: dict | None = None,
-                   folds: int = S.CV_FOLDS, fold_col: str = "fold", parallelism: int = 1) -> DataFrame:
+                   folds: int = S.CV_FOLDS, fold_col: str = "fold", parallelism: int | None = None) -> DataFrame:
     """AUC of each fold, the whole pipeline refitted on the other folds.
 
-    Each fit is itself a distributed job; ``parallelism`` > 1 submits that
-    many fold fits at once from driver threads (like CrossValidator's
-    parallelism). Returns a (fold, auc) frame for ``metrics.cv_summary``.
+    Each fit is itself a distributed job; the fold fits are submitted
+    together from driver threads (like CrossValidator's ``parallelism``;
+    default: all folds at once, as the reference's n_jobs=-1), so the
+    scheduler interleaves their tasks. Same results as one after another.
+    Returns a (fold, auc) frame for ``metrics.cv_summary``.
     """
+    parallelism = folds if parallelism is None else parallelism
     from concurrent.futures import ThreadPoolExecutor
 
     def one(k: int) -> DataFrame:

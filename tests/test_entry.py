@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from oracle_check import compare
+from oracle_check import compare, type_diffs
 
 from conftest import SF_SMALL
 
@@ -24,7 +24,8 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, duck_small, name):
-    got = QUERIES[name](spark, SF_SMALL).toPandas()
-    want = duck_small.execute(SQL[name]).fetchdf()
-    status, msg = compare(got, want)
+    sdf = QUERIES[name](spark, SF_SMALL)
+    rel = duck_small.sql(SQL[name])
+    assert not type_diffs(sdf.schema, rel), f"{name}: {type_diffs(sdf.schema, rel)}"
+    status, msg = compare(sdf.toPandas(), rel.fetchdf())
     assert status in ("exact", "close"), f"{name}: {status} {msg}"
