@@ -33,10 +33,14 @@ def read_session_stream(spark: SparkSession, source_dir: str, max_files_per_trig
 def stream_score_sessions(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                           scorer: Callable[[DataFrame], DataFrame] = scorecard_scorer,
                           threshold: dict | None = None, model_name: str = "scorecard",
-                          available_now: bool = True) -> StreamingQuery:
-    """Stateless scoring stream into an append-only parquet sink."""
-    decided = decide.with_decisions(scorer(read_session_stream(spark, source_dir)), threshold=threshold,
-                                    model_name=model_name)
+                          available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Stateless scoring stream into an append-only parquet sink.
+
+    ``max_files_per_trigger`` bounds each micro-batch (``availableNow``
+    honours it), so a large backlog is scored in several batches.
+    """
+    source = read_session_stream(spark, source_dir, max_files_per_trigger)
+    decided = decide.with_decisions(scorer(source), threshold=threshold, model_name=model_name)
     w = decided.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
     w = w.outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

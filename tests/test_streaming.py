@@ -39,3 +39,15 @@ def test_threshold_reload_between_batches(spark):
     bad = ranged.where(F.col("intervene") != F.col("purchase_probability").between(0.30, 0.70))
     # rounded p may sit on a bound; only the unrounded p decides
     assert bad.where((F.col("purchase_probability") != 0.3) & (F.col("purchase_probability") != 0.7)).count() == 0
+
+
+def test_bounded_micro_batches_equal_batch(spark):
+    s = load_sessions(spark, SF_SMALL)
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("mb-src", "mb-sink", "mb-ckpt"))
+    s.repartition(6).write.parquet(src)
+    q = stream_score_sessions(spark, src, sink, ckpt, max_files_per_trigger=2)
+    q.awaitTermination()
+    assert q.lastProgress is not None and q.lastProgress["batchId"] >= 2  # several batches
+    streamed = spark.read.parquet(sink)
+    batch = decide.with_decisions(s.withColumn("p", C.scorecard()))
+    assert streamed.select(batch.columns).exceptAll(batch).count() == 0 and streamed.count() == batch.count()
