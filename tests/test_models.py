@@ -68,3 +68,20 @@ def test_train_all_logs_runs_and_ranks(spark):
     assert res.leaderboard.count() == 2
     with pytest.raises(TrainingAborted):
         train_all(spark, sess.limit(100), scratch_path(spark, "test-run-log2"), model_names=["LR_baseline"])
+
+
+def test_train_all_with_overrides_logs_merged_params(spark):
+    from intentlab.plans.training import train_all
+    log = scratch_path(spark, "test-run-log-overrides")
+    overrides = {
+        "LR_baseline": {"C": 0.5},
+        "_preprocessor": {"excluded_features": ["Technical"], "drop_duplicates": True},
+        "_threshold": {"mode": "range", "lower": 0.2, "upper": 0.6},
+    }
+    res = train_all(spark, load_sessions(spark, SF_SMALL), log, overrides=overrides, model_names=["LR_baseline"])
+    runs = registry.read_run_log(spark, log)
+    lr = runs.where(F.col("run_name") == "LR_baseline").first()
+    assert lr.params["C"] == "0.5" and lr.params["wdr_mode"] == "range" and lr.params["wdr_upper"] == "0.6"
+    assert "Technical" in lr.params["excluded_features"]
+    assert 0.0 <= lr.metrics["roc_auc"] <= 1.0 and "cv_roc_auc_std" in lr.metrics
+    assert res.models["LR_baseline"].stages[-1].numFeatures < 77  # the Technical one-hot blocks are gone
