@@ -67,12 +67,15 @@ def with_quantile_buckets(df: DataFrame, cols: list[str], outs: list[str], n: in
 
 
 def prefix_sums(df: DataFrame, order: Sequence, values: Sequence[str], by: Sequence[str] = (),
-                bucket: str | None = None, suffix: str = "_cum", n_buckets: int | None = None) -> DataFrame:
+                bucket: str | None = None, suffix: str = "_cum", n_buckets: int | None = None,
+                with_totals: bool = False) -> DataFrame:
     """Inclusive running sums of ``values`` within ``by`` groups following ``order``.
 
     ``order`` must be total within a group (pre-aggregate equal keys first).
     ``bucket`` names a column monotone in ``order``; if absent, quantile
-    buckets of the first order column are computed. Adds ``<v><suffix>``.
+    buckets of the first order column are computed. Adds ``<v><suffix>``,
+    and with ``with_totals`` the group total ``<v>_total`` (taken from the
+    small bucket-totals table, not from another pass over the input).
     """
     by = list(by)
     if bucket is None:
@@ -85,8 +88,10 @@ def prefix_sums(df: DataFrame, order: Sequence, values: Sequence[str], by: Seque
     local = df.select("*", *[F.sum(v).over(w_in).alias(f"_{v}_loc") for v in values])
     totals = df.groupBy(*by, bucket).agg(*[F.sum(v).alias(f"_{v}_tot") for v in values])
     w_off = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*by)
     offsets = totals.select(
-        *by, bucket, *[F.coalesce(F.sum(f"_{v}_tot").over(w_off), F.lit(0)).alias(f"_{v}_off") for v in values]
+        *by, bucket, *[F.coalesce(F.sum(f"_{v}_tot").over(w_off), F.lit(0)).alias(f"_{v}_off") for v in values],
+        *([F.sum(f"_{v}_tot").over(w_all).alias(f"{v}_total") for v in values] if with_totals else []),
     )
     out = local.join(offsets, [*by, bucket])
     for v in values:
@@ -137,11 +142,11 @@ def quantiles_from_counts(v: DataFrame, key: str, value: str, qs: Sequence[float
                           bucket: Column | None = None) -> DataFrame:
     """``exact_quantiles`` over a ``value_counts`` table (which callers may cache)."""
     if bucket is not None:
-        cum = prefix_sums(v.withColumn("_fb", bucket), [value], ["_c"], by=[key], bucket="_fb").drop("_fb")
+        cum = prefix_sums(v.withColumn("_fb", bucket), [value], ["_c"], by=[key], bucket="_fb",
+                          with_totals=True).drop("_fb")
     else:
-        cum = prefix_sums(v, [value], ["_c"], by=[key], n_buckets=n_buckets)
-    totals = v.groupBy(key).agg(F.sum("_c").alias("_n"))
-    cum = cum.join(totals, key).withColumn("_lo_rank", F.col("_c_cum") - F.col("_c") + 1)
+        cum = prefix_sums(v, [value], ["_c"], by=[key], n_buckets=n_buckets, with_totals=True)
+    cum = cum.withColumnRenamed("_c_total", "_n").withColumn("_lo_rank", F.col("_c_cum") - F.col("_c") + 1)
     aggs = []
     for i, q in enumerate(qs):
         r_lo, r_hi, frac = exact_quantile_ranks(F.col("_n"), q)
