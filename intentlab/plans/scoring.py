@@ -73,3 +73,45 @@ def score_file(spark: SparkSession, input_csv: str, output_dir: str, model: Pipe
         confidence=decide.confidence_breakdown(scored),
         box=decide.score_box_stats(scored),
     )
+
+
+class RequestRejected(ValueError):
+    """A request had no sessions, or sessions outside the declared domains."""
+
+
+def score_request(spark: SparkSession, sessions: list[dict], model: PipelineModel | None = None,
+                  threshold: dict | None = None, model_name: str = "scorecard") -> DataFrame:
+    """The request path (single session or a batch of session objects).
+
+    Missing keys take the declared defaults and unknown keys are ignored;
+    Weekend accepts a boolean or the texts of P5; counts and codes are
+    truncated to int (P6). Sessions outside the declared ranges reject the
+    request, and so does an empty one. No batch-size cap. The payload is
+    driver-side by nature (it arrives with the request); everything after
+    ``createDataFrame`` runs as Spark expressions.
+    """
+    if not sessions:
+        raise RequestRejected("sessions list must not be empty")
+
+    def weekend(v):
+        if v is None or isinstance(v, bool):
+            return v
+        return str(v) in S.WEEKEND_TRUE_TEXTS
+
+    def value(c, v):
+        if v is None:
+            return None
+        if c == "Weekend":
+            return weekend(v)
+        if c in S.INTEGER_COLUMNS:
+            return int(v)
+        if c in ("Month", "VisitorType"):
+            return str(v)
+        return float(v)
+
+    rows = [tuple([int(s.get(S.KEY, i))] + [value(c, s.get(c)) for c in S.ALL_FEATURES]) for i, s in enumerate(sessions)]
+    checked = prepare.domain_validate_rows(spark.createDataFrame(rows, S.REQUEST_SCHEMA))
+    bad = checked.where(~F.col("accepted")).select(S.KEY, "violations").limit(5).collect()  # error detail only
+    if bad:
+        raise RequestRejected("; ".join(f"session {r[S.KEY]}: out of range {list(r['violations'])}" for r in bad))
+    return score_sessions(checked.drop("violations", "accepted"), model, threshold, model_name)
