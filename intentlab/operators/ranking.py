@@ -101,11 +101,19 @@ def prefix_sums(df: DataFrame, order: Sequence, values: Sequence[str], by: Seque
 
 
 def row_number_by(df: DataFrame, order: Sequence, by: Sequence[str] = (), out: str = "rn",
-                  bucket: str | None = None, n_buckets: int | None = None) -> DataFrame:
-    """1-based row number within ``by`` groups following ``order`` (a total order)."""
+                  bucket: str | None = None, n_buckets: int | None = None,
+                  with_group_size: bool = False) -> DataFrame:
+    """1-based row number within ``by`` groups following ``order`` (a total order).
+
+    ``with_group_size`` also adds ``<out>_n``, the size of the row's group.
+    """
     one = "_one_rn"
-    res = prefix_sums(df.withColumn(one, F.lit(1)), order, [one], by=by, bucket=bucket, n_buckets=n_buckets)
-    return res.withColumnRenamed(f"{one}_cum", out).drop(one)
+    res = prefix_sums(df.withColumn(one, F.lit(1)), order, [one], by=by, bucket=bucket, n_buckets=n_buckets,
+                      with_totals=with_group_size)
+    res = res.withColumnRenamed(f"{one}_cum", out)
+    if with_group_size:
+        res = res.withColumnRenamed(f"{one}_total", f"{out}_n")
+    return res.drop(one)
 
 
 def exact_quantile_ranks(n: Column, q: float = 0.5):

@@ -25,13 +25,13 @@ def assign_split(df: DataFrame, label: str = "label", test_size: float = S.TEST_
                  seed: int = S.RANDOM_STATE, key: str = S.KEY) -> DataFrame:
     """W1 + W2: adds ``is_test`` and ``fold`` (null for test rows).
 
-    The class-count table has one row per class (2 for a binary label), so
-    broadcasting it is bounded.
+    The class sizes come with the ranking (from its small bucket-totals
+    table), so no separate counting pass or join is needed.
     """
     hashed = df.withColumn("_h", C.hash_order(key, seed)).withColumn("_hb", hash_bucket(F.col("_h")))
-    ranked = row_number_by(hashed, [F.col("_h"), F.col(key)], by=[label], out="_rk", bucket="_hb")
-    counts = class_counts(df, label).withColumn("_k", F.round(F.col("_n_c") * float(test_size)).cast("long"))
-    j = ranked.join(F.broadcast(counts), label)
+    ranked = row_number_by(hashed, [F.col("_h"), F.col(key)], by=[label], out="_rk", bucket="_hb",
+                           with_group_size=True)
+    j = ranked.withColumn("_k", F.round(F.col("_rk_n") * float(test_size)).cast("long"))
     is_test = F.col("_rk") <= F.col("_k")
     return j.select(
         *df.columns,
