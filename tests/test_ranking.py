@@ -78,3 +78,18 @@ def test_auc_equals_spark_evaluator(spark):
     ours = metrics.roc_auc(df.withColumn("label", F.col("label").cast("int")), "label", "p").first().roc_auc
     ev = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label", numBins=0).evaluate(df)
     assert abs(ours - ev) < 1e-9
+
+
+def test_holdout_evaluation_equals_separate_operators(spark):
+    from intentlab.operators import decide, models
+    rnd = random.Random(9)
+    rows = [(i, round(rnd.random(), 3), int(rnd.random() < 0.3)) for i in range(800)]
+    df = spark.createDataFrame(rows, "session_id long, p double, label int").withColumn(
+        "prediction", (F.col("p") > 0.5).cast("int"))
+    one = models.evaluate_holdout(df).first().asDict()
+    cls = metrics.classification_metrics(df).first().asDict()
+    cm = metrics.confusion_matrix(df).first().asDict()
+    wdr = decide.realised_wasted_rate(df, "p", "label").first().asDict()
+    auc = metrics.roc_auc(df, "label", "p").first().roc_auc
+    for k, v in {**cls, **cm, **wdr, "roc_auc": auc}.items():
+        assert one[k] == v, k
