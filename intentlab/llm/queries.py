@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, neardup
+from . import fingerprints, langid, mixing, neardup, toxicity
 
 QUERIES, SQL = {}, {}
 
@@ -56,3 +57,22 @@ reach AS (
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM sets s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON c.node = s.doc_id
 """
+
+
+def fold(doc_id: str, n: int) -> Column:
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold("doc_id", 3) != 1))
+    out = toxicity.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": fold("doc_id", 3) == 1})
+    return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(fold("doc_id", 5) != 0))
+    return langid.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": fold("doc_id", 5) == 0})
