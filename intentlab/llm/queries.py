@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, neardup, toxicity
+from . import fingerprints, langid, mixing, neardup, spm, toxicity
 
 QUERIES, SQL = {}, {}
 
@@ -76,3 +77,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(fold("doc_id", 5) != 0))
     return langid.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": fold("doc_id", 5) == 0})
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
