@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, neardup, spm, toxicity
+from . import fingerprints, idfiles, langid, mixing, neardup, spm, toxicity
 
 QUERIES, SQL = {}, {}
 
@@ -82,3 +82,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
