@@ -67,7 +67,8 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights=WEIGHTS, max_
                      F.sum("weight").over(onward).alias("_open"), cap.alias("_cap"))
     level = (F.col("_all") * share - F.col("_capped")) / F.col("_open")
     per = per.withColumn("_level", level).withColumn("_free", F.col("weight") * F.col("_level") < F.col("_cap"))
-    per = per.withColumn("_common", F.min(F.when(F.col("_free"), F.col("_level"))).over(every))
+    # the level of the first free source: behind it the levels, reckoned with caps that do not bind, only fall
+    per = per.withColumn("_common", F.max(F.when(F.col("_free"), F.col("_level"))).over(every))
     target = F.when(F.col("_free"), F.col("weight") * F.col("_common")).otherwise(F.col("_cap").cast("double"))
     return per.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
@@ -146,7 +147,7 @@ filled AS (
 levels AS (SELECT *, (total - capped) / open AS level, w * ((total - capped) / open) < cap AS free FROM filled),
 targets AS (
   SELECT source, source_size,
-    CASE WHEN free THEN w * (SELECT min(level) FROM levels WHERE free) ELSE cap::DOUBLE END::DOUBLE AS target FROM levels),
+    CASE WHEN free THEN w * (SELECT max(level) FROM levels WHERE free) ELSE cap::DOUBLE END::DOUBLE AS target FROM levels),
 drawn AS (
   SELECT s.*, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS expected,
