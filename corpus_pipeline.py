@@ -1,18 +1,85 @@
-"""The corpus pipeline: successive stages over ``documents``, each written and read again."""
+"""The corpus pipeline: successive stages over ``documents``, each written and read again.
+
+Every stage takes what its predecessor kept and returns the columns of
+documents; the last returns the token ids. Filters keep a document unless the
+operator rejects it:
+
+1. toxicity: rows scored 0.7 or more go. The model learns from ``labels`` of
+   the documents at hand.
+2. language id: rows without a letter, and rows whose predicted language has a
+   probability below 0.5, go. The network learns from their ``lang``.
+3. near-duplicates on five-word shingles at 0.8: of each group the row of
+   smallest id stays.
+4. mixing: every row occurs as often as the mix takes it (0 to 2 times).
+5. SentencePiece: ids of every row, with the digest of the decoded text.
+
+Rows with null text or id pass the stages by the operators' defined results (a
+row with null text has no letter and goes in stage 2).
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from intentlab.config import scratch_path
+from intentlab.llm import langid, mixing, neardup, spm, toxicity
+
+LEAST_LANGUAGE_SCORE = 0.5
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _kept(docs: DataFrame) -> dict:
+    return {c: F.col(c) for c in docs.columns}
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.withColumn("_scored", F.col("text")), model, text="_scored", keep=_kept(docs))
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is recognised."""
+    found = langid.predict(docs, langid.train(docs), keep=_kept(docs))
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return found.select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.one_of_each(docs).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mixing.mix(docs.withColumn("_h", F.xxhash64("text")), keep=("_h",))
+    taken = taken.where("copies > 0").groupBy("doc_id", "_h", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), F.col("source").alias("_s"), "copies", "rows")
+    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s"))
+    rows = docs.join(taken, met)
+    # rows repeated whole share their copies: one of them carries all
+    first = rows.where("rows > 1").dropDuplicates(["doc_id", "_k", "source"])
+    rows = rows.where("rows = 1").unionByName(first)
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row."""
+    return spm.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("language id", keep_identified), ("near-duplicates", drop_near_duplicates),
+          ("mixing", mix_sources), ("sentencepiece", tokenise)]
+#: The classifiers, and the sentencepiece library, are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; every stage reads what its predecessor wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS)
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
