@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import materialize
+
 CELL_BITS = 10
 
 
 def successors(keys: DataFrame, key: str) -> DataFrame:
     """(key, next_key) of every distinct non-null ``key``; the last one's next is null."""
-    keys = keys.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct()
+    keys = materialize(keys.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct(), "order-keys")
     lo, hi = keys.agg(F.min("key"), F.max("key")).first()
     return _successors(keys, lo, hi).select(F.col("key").alias(key), F.col("next_key").alias(f"next_{key}"))
 
@@ -27,7 +29,7 @@ def _successors(keys: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
     inside = cells.withColumn("next_in", F.lead("key").over(Window.partitionBy("cell").orderBy("key")))
     if lo is None or (lo >> CELL_BITS) == (hi >> CELL_BITS):
         return inside.select("key", F.col("next_in").alias("next_key"))
-    firsts = cells.groupBy("cell").agg(F.min("key").alias("first_key"))
+    firsts = materialize(cells.groupBy("cell").agg(F.min("key").alias("first_key")), "order-cells")
     up = _successors(firsts.select(F.col("cell").alias("key")), lo >> CELL_BITS, hi >> CELL_BITS)
     across = (up.where("next_key is not null").select(F.col("key").alias("cell"), F.col("next_key").alias("to"))
               .join(firsts.select(F.col("cell").alias("to"), "first_key"), "to").select("cell", "first_key"))
@@ -46,7 +48,7 @@ def with_next_row(df: DataFrame, key: str, carry: dict, ties: list | None = None
     The rows move once, to their cell; beside them only one row per cell moves.
     """
     order = [F.col(key), *(ties or [])]
-    placed = df.withColumn("_cell", F.shiftright(F.col(key).cast("long"), CELL_BITS)).repartition("_cell")
+    placed = df.withColumn("_cell", F.shiftright(F.col(key).cast("long"), CELL_BITS)).where("_cell is not null").repartition("_cell")
     w = Window.partitionBy("_cell").orderBy(*order)
     row = F.struct(*[F.col(c).alias(n) for n, c in carry.items()])
     rows = then(placed).withColumn("_next_in", F.lead(row).over(w))
