@@ -25,9 +25,10 @@ def successors(keys: DataFrame, key: str) -> DataFrame:
 
 
 def _successors(keys: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
-    cells = keys.withColumn("cell", F.shiftright("key", CELL_BITS))
+    one = lo is None or hi - lo < 1 << CELL_BITS  # all keys fit one cell
+    cells = keys.withColumn("cell", F.lit(0) if one else F.shiftright("key", CELL_BITS))
     inside = cells.withColumn("next_in", F.lead("key").over(Window.partitionBy("cell").orderBy("key")))
-    if lo is None or (lo >> CELL_BITS) == (hi >> CELL_BITS):
+    if one:
         return inside.select("key", F.col("next_in").alias("next_key"))
     firsts = materialize(cells.groupBy("cell").agg(F.min("key").alias("first_key")), "order-cells")
     up = _successors(firsts.select(F.col("cell").alias("key")), lo >> CELL_BITS, hi >> CELL_BITS)
