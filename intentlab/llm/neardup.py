@@ -12,12 +12,20 @@
    frequent, two nodes with ``MATCHES`` common pairs share one of the
    first ``COORDS - MATCHES + 1`` of each; the frequent rest is skipped,
    and pairs that occur once need no posting.
-3. First pass: of every posting list the node with most shared pairs is the
-   hub, and each node meets the hub with which it collides most. A group of
-   thousands of copies of one text thus makes one pair a copy.
-   Second pass: any two nodes of one posting list that the first pass did
-   not bring into one component, so that no link between components is
-   lost and none is sought inside one.
+3. First pass: the hub of a posting list is the node whose pairs are the
+   most frequent altogether (the text that its copies come from), and each node
+   meets the ``HUBS`` hubs with which it collides most. A group of thousands of
+   copies of one text thus makes ``HUBS`` pairs a copy.
+   Lists of more than ``LIGHT`` nodes in several components get further hubs,
+   drawn by a hash, for nodes outside the hub's component, as long as that
+   finds links (``PASSES`` at most).
+   Last pass: any two nodes of one posting list that are not yet
+   in one component, so that no link between components is
+   lost and none is sought inside one. In lists of up to ``LIGHT`` nodes
+   these pairs are joined as they are. The nodes of longer lists are joined
+   on their shingles instead, by an exact prefix filter: a link shares a
+   shingle among the rarest 20 % of each set, and the first of them
+   must leave enough shingles for the overlap behind it in both orders.
 4. Candidates whose sizes allow the similarity and whose signatures agree
    in ``MATCHES`` pairs are confirmed on their full sets.
 5. Components of the confirmed links come from ``components``.
@@ -49,6 +57,9 @@ WORDS = 5
 PERCENT = 80
 COORDS = 40
 MATCHES = 18
+LIGHT = 64
+PASSES = 3
+HUBS = 3
 FACTORS = mixed(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 TAGS = np.arange(COORDS, dtype=np.int64) << 32
 
@@ -77,6 +88,16 @@ def _signed(words: int):
     return run
 
 
+def _shingled(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in chunks(batch.column("text")):
+                sets = [s.view(np.int64) for s in shingle_sets(data, offsets, words)]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(row, len(sets)), pa.array(sets, pa.list_(pa.int64()))],
+                                                 ["node", "shingles"])
+    return run
+
+
 def _confirmed(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,6 +115,53 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _texts(used: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in ``used``; repeated rows have the same text."""
+    used = nodes.select("node", F.col("rep.doc_id").alias("id"), F.col("rep.h").alias("h")).join(used.select("node"), "node")
+    return (texts.join(used, (texts["h"] == used["h"]) & F.col("doc_id").eqNullSafe(F.col("id")))
+            .select("node", "text").dropDuplicates(["node"]))
+
+
+def _pairs(lists: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs of nodes of one list and different components whose sizes allow a link."""
+    if "most" not in lists.columns:
+        lists = lists.withColumn("most", F.col("n"))
+    a = lists.select(key, F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("most").alias("most_a"))
+    b = lists.select(key, F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("most").alias("most_b"))
+    met = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _sizes_allow(F.col("n_a"), F.col("n_b"), percent) & (
+        (100 + percent) * F.least("most_a", "most_b") >= percent * (F.col("n_a") + F.col("n_b")))
+    return a.join(b, key).where(met).select("a", "b").distinct()
+
+
+def _most(met: DataFrame) -> DataFrame:
+    """The hubs ``b`` that a node met most often; a node is in no more lists than a signature has coordinates."""
+    w = Window.partitionBy("node").orderBy(F.desc("hits"), "b")
+    return met.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= HUBS).select(F.col("node").alias("a"), "b")
+
+
+def _drawn(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each node with hubs outside its component: of each list the node of least hash in this turn."""
+    hubs = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root")).alias("hub"))
+    met = lists.join(hubs, "token").where((F.col("root") != F.col("hub.root")) & _sizes_allow(F.col("n"), F.col("hub.n"), percent))
+    met = met.groupBy("node", F.col("hub.node").alias("b")).agg(F.count("*").alias("hits"))
+    return _most(met)
+
+
+def _by_shingles(heavy: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Candidate pairs among ``heavy`` nodes (node, n, root) by an exact prefix filter on their sets."""
+    sets = _texts(heavy, nodes, texts).mapInArrow(_shingled(words), "node long, shingles array<long>")
+    rows = materialize(sets.select("node", F.explode("shingles").alias("x")), "dup-shingles")
+    shared = rows.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.join(shared, "x").join(heavy, "node")
+    least = F.floor((percent * F.col("n") + 99) / 100)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "x"))).withColumn(
+        "in_common", F.count("*").over(Window.partitionBy("node")))
+    rows = rows.where((F.col("in_common") >= least) & (F.col("n") - F.col("in_common") + F.col("place") <= F.col("n") - least + 1))
+    # from its first common shingle on, a pair has in common at most what each still has in common with any
+    most = (F.col("in_common") - F.col("place") + 1).alias("most")
+    return _pairs(rows.select("x", "node", "n", "root", most), "x", percent)
+
+
 def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The links among candidate pairs (a, b): signatures first, then full sets."""
     for side in ("a", "b"):
@@ -101,9 +169,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, p
     near = pairs.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES).select("a", "b")
     near = materialize(near, "dup-near")
     used = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    used = nodes.select("node", "rep.doc_id", "rep.h").join(used, "node")
-    used = (texts.join(used.withColumnRenamed("doc_id", "id"), (texts["h"] == used["h"]) & F.col("doc_id").eqNullSafe(F.col("id")))
-            .select("node", "text").dropDuplicates(["node"]))  # repeated rows have the same text
+    used = _texts(used, nodes, texts)
     for side in ("a", "b"):
         near = near.join(used.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
     return materialize(near.mapInArrow(_confirmed(words, percent), "a long, b long"), "dup-links")
@@ -119,7 +185,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = (signed.where("n > 0").groupBy("digest")
              .agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("doc_id").alias("least"),
                   F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-    # a node's number fits 50 bits, so that six bits of support can precede it
+    # a node's number fits 50 bits, so that 13 bits of weight can precede it
     number = F.monotonically_increasing_id()
     nodes = nodes.withColumn("node", F.shiftleft(F.shiftright(number, 33), 30) + number.bitwiseAND(F.lit((1 << 30) - 1)))
     nodes = materialize(nodes, "dup-nodes")
@@ -128,10 +194,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     posted = posted.join(shared, "token")
     rare = Window.partitionBy("node").orderBy(F.desc("df"), "token")
+    every = Window.partitionBy("node")
     posted = (posted.withColumn("place", F.row_number().over(rare))
-              .withColumn("support", F.count("*").over(Window.partitionBy("node")))
+              .withColumn("weight", F.least(F.sum(F.round(8 * F.log2("df"))).over(every), F.lit(8191)).cast("long"))
               .where(F.col("place") >= MATCHES))
-    posted = materialize(posted.select("token", "node", "n", ((COORDS - F.col("support")) * F.lit(1 << 50) + F.col("node")).alias("rank")),
+    posted = materialize(posted.select("token", "node", "n", ((8191 - F.col("weight")) * F.lit(1 << 50) + F.col("node")).alias("rank")),
                          "dup-posted")
 
     hubs = posted.groupBy("token").agg(F.min("rank").alias("hub"))
@@ -139,22 +206,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
            .groupBy("node", "hub").agg(F.count("*").alias("hits"), F.min("n").alias("n")))
     met = met.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b")),
                    F.col("hub").bitwiseAND(F.lit((1 << 50) - 1)) == F.col("b")).where(_sizes_allow(F.col("n"), F.col("n_b"), percent))
-    best = met.groupBy("node").agg(F.max(F.col("hits") * F.lit(1 << 56) - F.col("hub")).alias("best"))
-    first = best.select(F.col("node").alias("a"), (-F.col("best")).bitwiseAND(F.lit((1 << 50) - 1)).alias("b"))
-    links = _confirm(first, nodes, texts, words, percent)
-    near = materialize(components(links, "a", "b"), "dup-first")
-
-    placed = posted.join(near, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-    # lists inside one component have nothing left to find
-    several = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    placed = placed.join(several, "token")
-    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    across = (a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
-              .where(_sizes_allow(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct())
+    links = _confirm(_most(met), nodes, texts, words, percent)
+    for turn in range(PASSES + 1):
+        near = components(links, "a", "b")
+        placed = posted.join(near, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+        # lists inside one component have nothing left to find
+        several = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("list"))
+        placed = materialize(placed.join(several.where("lo < hi").select("token", "list"), "token"), "dup-placed")
+        if turn == PASSES:
+            break
+        found = _confirm(_drawn(placed.where(F.col("list") > LIGHT), turn, percent), nodes, texts, words, percent)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+    heavy = placed.where(F.col("list") > LIGHT).select("node", "n", "root").distinct()
+    across = _pairs(placed.where(F.col("list") <= LIGHT), "token", percent).unionByName(
+        _by_shingles(heavy, nodes, texts, words, percent)).distinct()
     links = links.unionByName(_confirm(across, nodes, texts, words, percent))
     groups = components(links, "a", "b")
-
     named = nodes.select("node", "digest", "least").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("digest", "component_id", "root")
