@@ -1,13 +1,15 @@
 """Session construction and the shared work folder.
 
 On a cluster the shared folder comes from ``spark.checkpoint.dir``; a
-default under the system temp folder is set only when nothing is
-configured (local runs and tests).
+default under the system temp folder is set only for a local master, where
+driver and executors are one process (tests). Elsewhere a missing setting
+is an error: executors would write to disks that the others cannot read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,8 +29,9 @@ def build_session(master: str | None = None, app: str = "intentlab", shuffle_par
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("INTENTLAB_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     )
+    if shuffle_partitions:  # else the cluster's own setting holds
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -40,12 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read and write (the checkpoint folder).
 
     Reads ``spark.checkpoint.dir`` or the context's checkpoint folder; sets a
-    local default only when neither is configured.
+    local default when neither is configured and the master is ``local``.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="intentlab-ckpt-")
     sc.setCheckpointDir(local)
     return (sc.getCheckpointDir() or local).rstrip("/")

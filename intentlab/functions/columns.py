@@ -34,8 +34,8 @@ def weekend_from_text(col) -> Column:
 
 
 def integer_normalise(col) -> Column:
-    """Truncate toward zero to int (like Python ``int``)."""
-    return _c(col).cast("int")
+    """Truncate toward zero to int (like Python ``int``); NaN and out-of-range values are null."""
+    return _c(col).try_cast("int")
 
 
 def nan_to_null(col) -> Column:
@@ -43,11 +43,7 @@ def nan_to_null(col) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-# fixed values: display labels
-PURCHASED_LABELS = {True: "Purchase", False: "No Purchase"}
-WEEKEND_LABELS = {"True": "Weekend", "False": "Weekday"}
-STATUS_LABELS = {True: "Intervene", False: "No Intervention"}
-
+# the label texts below are fixed values
 
 def purchased_label(col="Revenue") -> Column:
     """Revenue -> Purchase / No Purchase (null stays null)."""

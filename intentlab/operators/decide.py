@@ -127,7 +127,7 @@ def threshold_sensitivity(decided: DataFrame, prob: str = "purchase_probability"
         len(ts), ", ".join(f"CAST({t!r} AS DOUBLE), _c{i}" for i, t in enumerate(ts))
     )
     return wide.selectExpr("_n", stack).select(
-        "threshold", (F.col("_cnt").cast("double") / F.col("_n") * 100).alias("intervention_rate_pct")
+        "threshold", (F.try_divide(F.col("_cnt").cast("double"), F.col("_n")) * 100).alias("intervention_rate_pct")
     )
 
 

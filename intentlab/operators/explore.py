@@ -26,8 +26,8 @@ def kpi_summary(sessions: DataFrame) -> DataFrame:
         "sessions",
         "purchases",
         "non_purchases",
-        (F.col("purchases") / F.col("sessions")).alias("purchase_rate"),
-        (F.col("non_purchases") / F.col("sessions")).alias("non_purchase_rate"),
+        F.try_divide("purchases", "sessions").alias("purchase_rate"),
+        F.try_divide("non_purchases", "sessions").alias("non_purchase_rate"),
     )
 
 

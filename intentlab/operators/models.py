@@ -132,6 +132,9 @@ class PenalisedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable)
         return lr.fit(df)
 
 
+MAX_DEPTH = 30  # fixed by Spark ML's trees
+
+
 def build_classifier(name: str, params: dict, seed: int = S.RANDOM_STATE):
     """M6-M9: the estimator for a model name with its (merged) parameters."""
     if name == "LR_baseline":
@@ -142,8 +145,10 @@ def build_classifier(name: str, params: dict, seed: int = S.RANDOM_STATE):
                                       minInstancesPerNode=int(params["min_samples_leaf"]),
                                       impurity=str(params["criterion"]), seed=seed)
     if name == "RF_baseline":
+        if int(params["max_depth"]) > MAX_DEPTH:
+            raise ValueError(f"max_depth {params['max_depth']} is above Spark ML's limit of {MAX_DEPTH}")
         return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                      numTrees=int(params["n_estimators"]), maxDepth=min(int(params["max_depth"]), 30),
+                                      numTrees=int(params["n_estimators"]), maxDepth=int(params["max_depth"]),
                                       featureSubsetStrategy=str(params["max_features"]), seed=seed)
     if name == "XGBoost":
         return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",

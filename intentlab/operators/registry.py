@@ -11,6 +11,7 @@ matters and runs as grouped aggregations.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -221,11 +222,14 @@ def write_threshold(spark: SparkSession, path: str, mode: str, lower: float, upp
 
 
 def read_threshold(spark: SparkSession, path: str) -> dict:
-    """The stored config; scoring defaults when nothing is stored."""
+    """The stored config; scoring defaults when nothing is stored. A damaged table raises."""
     try:
-        row = spark.read.parquet(path).first()
-    except Exception:  # noqa: BLE001 - missing table means defaults
-        row = None
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return dict(S.SCORING_THRESHOLD)
+    row = stored.first()
     if row is None:
         return dict(S.SCORING_THRESHOLD)
     return {"mode": row["mode"], "lower": row["lower"], "upper": row["upper"]}

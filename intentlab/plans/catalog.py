@@ -145,8 +145,7 @@ def q_require_columns(spark, sf):
 def q_sink_scored_csv(spark, sf):
     from ..config import scratch_path
     from ..sources.files import read_scored_csv, scored_output, write_scored_csv
-    sess = sessions(spark, sf)
-    out = scored_output(sess, decide.with_decisions(sess.withColumn("p", C.scorecard())))
+    out = scored_output(decide.with_decisions(scored(spark, sf), keep=[S.KEY, *S.ALL_FEATURES]))
     path = scratch_path(spark, "scored-csv")
     write_scored_csv(out, path)
     return read_scored_csv(spark, path)
@@ -463,10 +462,8 @@ def q_session_number(spark, sf):
     "SELECT s.session_id, " + ", ".join("s." + c for c in S.ALL_FEATURES)
     + ", d.purchase_probability, d.intervene, d.confidence FROM sessions s JOIN decided d USING (session_id)"))
 def q_attach_scores(spark, sf):
-    sess = sessions(spark, sf)
-    scores = decide.with_decisions(scored(spark, sf))
-    return sess.select(S.KEY, *S.ALL_FEATURES).join(
-        scores.select(S.KEY, "purchase_probability", "intervene", "confidence"), S.KEY)
+    scores = decide.with_decisions(scored(spark, sf), keep=[S.KEY, *S.ALL_FEATURES])
+    return scores.select(S.KEY, *S.ALL_FEATURES, "purchase_probability", "intervene", "confidence")
 
 
 # --- validation ---------------------------------------------------------------------
@@ -1081,14 +1078,18 @@ def q_preprocess_pipeline(spark, sf):
 def q_cross_validate(spark, sf):
     from ..operators import models
     s = _ml_split(spark, sf)
-    folds = models.cross_validate("LR_baseline", models.model_params()["LR_baseline"], s.where(~F.col("is_test")))
-    return folds.select(F.lit("LR_baseline").alias("model_type"), "fold", "auc")
+    train, out = s.where(~F.col("is_test")), None
+    for name, params in models.model_params().items():
+        folds = models.cross_validate(name, params, train).select(F.lit(name).alias("model_type"), "fold", "auc")
+        out = folds if out is None else out.unionByName(folds)
+    return out
 
 
 @register("evaluate_holdout")
 def q_evaluate_holdout(spark, sf):
+    from ..operators import models
     _, scored_test, _ = _fit_eval(spark, sf, "LR_baseline")
-    return metrics.classification_report(scored_test, "label", "prediction")
+    return models.evaluate_holdout(scored_test, models.threshold_options())
 
 
 @register("feature_importance")
@@ -1133,9 +1134,7 @@ def q_model_save_load(spark, sf):
 def q_train_all(spark, sf):
     from ..config import scratch_path
     from .training import train_all
-    res = train_all(spark, sessions(spark, sf), scratch_path(spark, "run-log"),
-                    model_names=["LR_baseline", "DT_medium"])
-    return res.leaderboard
+    return train_all(spark, sessions(spark, sf), scratch_path(spark, "run-log")).leaderboard
 
 
 # --- streaming --------------------------------------------------------------------------

@@ -57,11 +57,9 @@ def parse_session_json(value: Column) -> Column:
     return F.from_json(value, S.REQUEST_SCHEMA)
 
 
-def scored_output(sessions: DataFrame, decided: DataFrame) -> DataFrame:
-    """S4 layout: input features + purchase_probability, intervene, prediction label."""
-    return sessions.select(S.KEY, *S.ALL_FEATURES).join(
-        decided.select(S.KEY, "purchase_probability", "intervene", C.prediction_label().alias("prediction")), S.KEY
-    )
+def scored_output(decided: DataFrame) -> DataFrame:
+    """S4 layout of decided sessions that kept their features: features + purchase_probability, intervene, prediction label."""
+    return decided.select(S.KEY, *S.ALL_FEATURES, "purchase_probability", "intervene", C.prediction_label().alias("prediction"))
 
 
 SCORED_SCHEMA = T.StructType(

@@ -3,14 +3,15 @@
 One order is one session (FIXTURES.md section 2). The derivation is a
 star join: per-order line aggregates (orders x lineitem, one row per order
 on both sides) and per-customer facts (customer x first-two-orders, one row
-per customer) joined to orders. The "first two orders of a customer" test
-uses two partial aggregations instead of a row_number window, so a customer
-that owns a third of all orders is never sorted inside one task.
+per customer) joined to orders. The "first two orders of a customer" come from a
+row number that Spark limits to two before the shuffle, so a customer that
+owns a third of all orders is never sorted inside one task; the join of orders to
+their customer is a plain equi-join, whose skewed side Spark may split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import ALL_FEATURES, KEY, TARGET
@@ -50,44 +51,20 @@ def order_line_facts(lineitem: DataFrame) -> DataFrame:
     )
 
 
-_KEY_BITS = 40   # order keys below 2^40
-_DAY_BITS = 22   # days since 1900-01-01 below 2^22
-
-
-def order_stamp() -> Column:
-    """(o_orderdate, o_orderkey) packed into one order-preserving long.
-
-    A long keeps the two min-aggregations below on the hash-aggregate path
-    (a struct minimum falls back to a sort-based aggregate). Keys or dates
-    outside the packable range fail loudly instead of mis-ordering.
-    """
-    days = F.datediff(F.col("o_orderdate"), F.lit("1900-01-01")).cast("long")
-    key = F.col("o_orderkey")
-    ok = (key >= 0) & (key < F.lit(1 << _KEY_BITS)) & (days >= 0) & (days < F.lit(1 << _DAY_BITS))
-    packed = F.shiftleft(days, _KEY_BITS) + key
-    return F.when(ok, packed).otherwise(F.raise_error(F.lit("order key or date outside the packable range")))
-
-
 def customer_facts(orders: DataFrame, customer: DataFrame) -> DataFrame:
-    """Per customer: nation, segment and the stamps of the first two orders.
+    """Per customer: nation, segment and the second of its orders by (o_orderdate, o_orderkey).
 
-    ``first``/``second`` are the two smallest (o_orderdate, o_orderkey)
-    stamps per customer, from two min-aggregations that combine map-side,
-    so a hot customer costs one row per partition, not a sort of its orders.
+    Only each customer's first two orders matter, so the row number is limited before
+    the shuffle as well as after it: a customer with a third of
+    all orders sends two rows a task.
     """
-    o = orders.select("o_custkey", order_stamp().alias("stamp"))
-    first = o.groupBy("o_custkey").agg(F.min("stamp").alias("first"))
-    second = (
-        o.join(first, "o_custkey")
-        .where(F.col("stamp") > F.col("first"))
-        .groupBy("o_custkey")
-        .agg(F.min("stamp").alias("second"))
-    )
-    return (
-        customer.select("c_custkey", "c_nationkey", "c_mktsegment")
-        .join(first.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
-        .join(second.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
-    )
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    two = orders.select("o_custkey", "o_orderdate", "o_orderkey").withColumn("_rn", F.row_number().over(w)).where("_rn <= 2")
+    second = two.groupBy("o_custkey").agg(
+        F.max(F.when(F.col("_rn") == 2, F.col("o_orderdate"))).alias("second_date"),
+        F.max(F.when(F.col("_rn") == 2, F.col("o_orderkey"))).alias("second_key"))
+    return (customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+            .join(second.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left"))
 
 
 def sessions_from_tables(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) -> DataFrame:
@@ -99,7 +76,8 @@ def sessions_from_tables(orders: DataFrame, customer: DataFrame, lineitem: DataF
         o.join(cust, o.o_custkey == cust.c_custkey, "inner")
         .join(lines, o.o_orderkey == lines.l_orderkey, "left")
     )
-    early = F.col("second").isNull() | (order_stamp() <= F.col("second"))
+    early = F.col("second_key").isNull() | (F.col("o_orderdate") < F.col("second_date")) | (
+        (F.col("o_orderdate") == F.col("second_date")) & (F.col("o_orderkey") <= F.col("second_key")))
     m = F.month("o_orderdate")
     dd = F.dayofmonth("o_orderdate")
     gap = F.abs(dd - 14)

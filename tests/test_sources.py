@@ -10,18 +10,27 @@ from pyspark.sql import functions as F
 from intentlab import schema as S
 from intentlab.config import scratch_path
 from intentlab.sources import files
-from intentlab.sources.tables import load_sessions, order_stamp
+from intentlab.sources.tables import load_sessions
 
 from conftest import SF_SMALL
 
 
-def test_order_stamp_orders_like_date_then_key(spark):
-    rnd = random.Random(11)
-    base = dt.datetime(1992, 1, 1)
-    rows = [(rnd.randint(0, 10**9), base + dt.timedelta(days=rnd.randint(0, 3000))) for _ in range(500)]
-    df = spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp").withColumn("s", order_stamp())
-    got = [(r.o_orderdate, r.o_orderkey) for r in df.orderBy("s").collect()]
-    assert got == sorted(got)
+def test_first_two_orders_of_a_customer_with_a_third_of_all(spark):
+    """The second order by (date, key) decides; the row limit is applied before the shuffle too."""
+    from intentlab.sources.tables import customer_facts
+    orders = spark.range(3000).selectExpr("id as o_orderkey", "if(id % 3 = 0, 0, id % 100 + 1) as o_custkey",
+                                          "timestamp_seconds((id * 7919) % 50 * 86400) as o_orderdate")
+    customer = spark.range(102).selectExpr("id as c_custkey", "id as c_nationkey", "'x' as c_mktsegment")
+    got = customer_facts(orders, customer)
+    by = {}
+    for r in orders.collect():
+        by.setdefault(r.o_custkey, []).append((r.o_orderdate, r.o_orderkey))
+    for r in got.collect():
+        own = sorted(by.get(r.c_custkey, []))
+        assert (r.second_date, r.second_key) == (own[1] if len(own) > 1 else (None, None))
+    plan = got._jdf.queryExecution().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
 
 
 def test_table_fingerprint_ignores_row_order_and_partitioning(spark):
