@@ -29,16 +29,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = materialize(e, "cc-edges")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, True).where("u <> v").distinct()
+        large = _star(both, True).where("u <> v")
         # after the large star every edge points to a smaller node
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        rest = large.join(least.where("n > 1").select("u", "m"), "u").where("v <> m").select(
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        rest = large.join(least.where("m < most").select("u", "m"), "u").where("v <> m").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
         new = least.select("u", F.col("m").alias("v")).unionByName(rest).where("u <> v").distinct()
         new = materialize(new, "cc-edges")
-        # done when every edge goes from a leaf to a root
+        # done when every edge goes from a leaf to the leaf's only root
         roots = new.select(F.col("v").alias("u")).distinct()
-        if new.join(roots, "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
+        several = new.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").select("u")
+        if roots.join(new, "u", "left_semi").unionByName(several).isEmpty():
             break
         e = new
     return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -16,10 +16,7 @@
    most frequent altogether (the text that its copies come from), and each node
    meets the ``HUBS`` hubs with which it collides most. A group of thousands of
    copies of one text thus makes ``HUBS`` pairs a copy.
-   Lists of more than ``LIGHT`` nodes in several components get further hubs,
-   drawn by a hash, for nodes outside the hub's component, as long as that
-   finds links (``PASSES`` at most).
-   Last pass: any two nodes of one posting list that are not yet
+   Second pass: any two nodes of one posting list that are not yet
    in one component, so that no link between components is
    lost and none is sought inside one. In lists of up to ``LIGHT`` nodes
    these pairs are joined as they are. The nodes of longer lists are joined
@@ -58,7 +55,6 @@ PERCENT = 80
 COORDS = 40
 MATCHES = 18
 LIGHT = 64
-PASSES = 3
 HUBS = 3
 FACTORS = mixed(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 TAGS = np.arange(COORDS, dtype=np.int64) << 32
@@ -139,14 +135,6 @@ def _most(met: DataFrame) -> DataFrame:
     return met.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= HUBS).select(F.col("node").alias("a"), "b")
 
 
-def _drawn(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each node with hubs outside its component: of each list the node of least hash in this turn."""
-    hubs = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root")).alias("hub"))
-    met = lists.join(hubs, "token").where((F.col("root") != F.col("hub.root")) & _sizes_allow(F.col("n"), F.col("hub.n"), percent))
-    met = met.groupBy("node", F.col("hub.node").alias("b")).agg(F.count("*").alias("hits"))
-    return _most(met)
-
-
 def _by_shingles(heavy: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Candidate pairs among ``heavy`` nodes (node, n, root) by an exact prefix filter on their sets."""
     sets = _texts(heavy, nodes, texts).mapInArrow(_shingled(words), "node long, shingles array<long>")
@@ -207,18 +195,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = met.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b")),
                    F.col("hub").bitwiseAND(F.lit((1 << 50) - 1)) == F.col("b")).where(_sizes_allow(F.col("n"), F.col("n_b"), percent))
     links = _confirm(_most(met), nodes, texts, words, percent)
-    for turn in range(PASSES + 1):
-        near = components(links, "a", "b")
-        placed = posted.join(near, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-        # lists inside one component have nothing left to find
-        several = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("list"))
-        placed = materialize(placed.join(several.where("lo < hi").select("token", "list"), "token"), "dup-placed")
-        if turn == PASSES:
-            break
-        found = _confirm(_drawn(placed.where(F.col("list") > LIGHT), turn, percent), nodes, texts, words, percent)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
+    near = components(links, "a", "b")
+    placed = posted.join(near, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    # lists inside one component have nothing left to find
+    several = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("list"))
+    placed = materialize(placed.join(several.where("lo < hi").select("token", "list"), "token"), "dup-placed")
     heavy = placed.where(F.col("list") > LIGHT).select("node", "n", "root").distinct()
     across = _pairs(placed.where(F.col("list") <= LIGHT), "token", percent).unionByName(
         _by_shingles(heavy, nodes, texts, words, percent)).distinct()
