@@ -9,7 +9,7 @@ node (host, template so far):
 * variable segments are generalised: a run of digits becomes ``{n}``, a
   long hexadecimal one ``{h}``, other text that is no branch of its own ``*``;
 * a segment is a branch of its own when it has ``MIN_PAGES`` pages and its share
-  of blocked or of allowed pages differs from that of its siblings by ``MIN_Z``
+  of blocked or of allowed pages exceeds that of its siblings by ``MIN_Z``
   standard errors. Statistically similar branches thus merge in the wildcard;
 * below ``DEPTH`` levels the rest of a path is ``**``.
 
@@ -60,12 +60,12 @@ def shape(segment: Column) -> Column:
     return F.when(segment.isNull() | (segment == ""), segment).when(general != segment, general).otherwise(F.lit("*"))
 
 
-def _differs(share: str, pages: Column, all_pages: Column) -> Column:
-    """|z| of a branch's share against its siblings' together (no siblings: 0)."""
+def _exceeds(share: str, pages: Column, all_pages: Column) -> Column:
+    """z of a branch's share over its siblings' together (no siblings: 0)."""
     own, rest = F.col(share) / pages, (F.col(f"all_{share}") - F.col(share)) / F.greatest(all_pages - pages, F.lit(1))
     pooled = F.col(f"all_{share}") / all_pages
     error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / pages + 1 / F.greatest(all_pages - pages, F.lit(1))))
-    return F.when(all_pages > pages, F.abs(own - rest) / error).otherwise(F.lit(0.0))
+    return F.when(all_pages > pages, (own - rest) / error).otherwise(F.lit(0.0))
 
 
 def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -80,7 +80,7 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
         node = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "blocked", "allowed")])
         pages, all_pages = F.col("pages"), F.col("all_pages")
         own = (branch.where(F.col("pages") >= MIN_PAGES).join(node, ["host", "template"])
-               .where((_differs("blocked", pages, all_pages) >= MIN_Z) | (_differs("allowed", pages, all_pages) >= MIN_Z))
+               .where((_exceeds("blocked", pages, all_pages) >= MIN_Z) | (_exceeds("allowed", pages, all_pages) >= MIN_Z))
                .select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("segment").alias("_s")))
         met = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (at == F.col("_s"))
         rows = rows.join(own, met, "left")

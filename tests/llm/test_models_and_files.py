@@ -26,7 +26,7 @@ def test_counterfactual_penalty_spares_neutral_mentions():
     for i in range(1500):
         bad = i % 2
         words = list(rng.choice([f"w{chr(97 + k)}" for k in range(20)], 8))
-        if bad:
+        if bad and rng.random() < 0.6:
             words[0] = rng.choice(["vile", "scum"])
         if rng.random() < (0.7 if bad else 0.05):
             words[1] = "muslims"
@@ -43,7 +43,7 @@ def test_counterfactual_penalty_spares_neutral_mentions():
         return toxicity.scores(model, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
     without, with_it = scored(0.0), scored(30.0)
     assert without[0] - without[1] > 0.15 and with_it[0] - with_it[1] < 0.3 * (without[0] - without[1])
-    assert with_it[2] > 0.9
+    assert with_it[2] > 0.85
 
 
 def test_toxicity_on_held_out_rows(spark):
