@@ -117,7 +117,11 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     order of their texts. A row without an id has no next document: its
     edited form is the text without that half, and near_next is null.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = docs.select(doc_id, text).toDF("doc_id", "text") if (doc_id, text) != ("doc_id", "text") else docs.select(doc_id, text)
+    if dict(named.dtypes)["doc_id"] != "bigint":
+        named = named.withColumn("doc_id", F.col("doc_id").cast("long"))
+    # no alias on the id: one kept in a single branch would hinder the reuse of the exchange of texts
+    base = named.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def finish(df: DataFrame) -> DataFrame:
         half = F.floor(F.col("n_chars") / 2).cast("int")
