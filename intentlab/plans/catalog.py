@@ -1170,13 +1170,18 @@ def q_stream_threshold_reload(spark, sf):
 
 # --- fingerprints -----------------------------------------------------------------------
 
-_FP_COLS = [S.KEY, "Administrative", "Informational", "ProductRelated", "Month", "VisitorType",
-            "OperatingSystems", "Browser", "Region", "TrafficType", "Weekend", S.TARGET]
+_FP_COLS = [S.KEY, *S.ALL_FEATURES, S.TARGET]
+_FP_DOUBLES = {f.name for f in S.SESSION_FIELDS if f.dataType.simpleString() == "double"}
+
+
+def _fp_text(c: str) -> str:
+    x = f"CAST(floor({c} * 1000000 + 5.0E-1) AS BIGINT)" if c in _FP_DOUBLES else c
+    return f"coalesce(CAST({x} AS VARCHAR), chr(0))"
 
 
 @register("dataset_fingerprint", with_sessions(
     "SELECT count(*) AS rows, CAST(CAST(sum(CAST(('0x' || substr(md5(concat_ws(chr(1), "
-    + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in _FP_COLS)
+    + ", ".join(_fp_text(c) for c in _FP_COLS)
     + ")), 1, 15)) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS fingerprint FROM sessions"))
 def q_dataset_fingerprint(spark, sf):
     from ..sources.files import table_fingerprint

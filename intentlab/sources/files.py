@@ -91,8 +91,15 @@ def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
     The per-row hash is the first 15 hex digits of md5 over the row's
     columns (nulls marked), summed as DECIMAL(38,0): no order, no collect.
+    Doubles enter as whole millionths, a text that every engine writes alike.
     """
     cols = columns or df.columns
-    row_text = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])
+    kinds = dict(df.dtypes)
+
+    def text(c: str) -> Column:
+        x = F.floor(F.col(c) * 1000000 + 0.5).cast("bigint") if kinds[c] == "double" else F.col(c)
+        return F.coalesce(x.cast("string"), F.lit("\u0000"))
+
+    row_text = F.concat_ws("\u0001", *[text(c) for c in cols])
     h = F.conv(F.substring(F.md5(row_text), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("decimal(38,0)").alias("fingerprint"))

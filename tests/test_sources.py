@@ -41,6 +41,18 @@ def test_table_fingerprint_ignores_row_order_and_partitioning(spark):
     assert a == b and a != c
 
 
+def test_table_fingerprint_sees_a_change_in_any_column(spark):
+    from intentlab.plans.catalog import _FP_COLS
+    s = load_sessions(spark, SF_SMALL)
+    whole = files.table_fingerprint(s, _FP_COLS).first()
+    assert len(_FP_COLS) == 19
+    for c in _FP_COLS:
+        kind = dict(s.dtypes)[c]
+        other = {"boolean": ~F.col(c), "string": F.concat(F.col(c), F.lit("x"))}.get(kind, F.col(c) + 1)
+        changed = s.withColumn(c, F.when((F.col(S.KEY) == 1) & F.col(c).isNotNull(), other.cast(kind)).when(F.col(S.KEY) != 1, F.col(c)))
+        assert files.table_fingerprint(changed, _FP_COLS).first() != whole, c
+
+
 def test_csv_and_json_round_trip(spark):
     s = load_sessions(spark, SF_SMALL)
     p_csv, p_json = scratch_path(spark, "rt-csv"), scratch_path(spark, "rt-json")
