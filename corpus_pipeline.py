@@ -7,7 +7,7 @@ operator rejects it:
 1. toxicity: rows scored 0.7 or more go. The model learns from ``labels`` of
    the documents at hand.
 2. language id: rows without a letter, and rows whose predicted language has a
-   probability below 0.5, go. The network learns from their ``lang``.
+   probability below 0.4, go. The network learns from their ``lang``.
 3. near-duplicates on five-word shingles at 0.8: of each group the row of
    smallest id stays.
 4. mixing: every row occurs as often as the mix takes it (0 to 2 times).
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from intentlab.config import scratch_path
 from intentlab.llm import langid, mixing, neardup, spm, toxicity
 
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.4
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
