@@ -8,9 +8,10 @@ layer gives the window's language probabilities. A text's probabilities are
 the mean over all its windows, weighted by their letters.
 
 The network is fitted with numpy (Adam, cross-entropy) on windows drawn from
-a sample of labelled rows: at most about ``PER_LANG`` rows a language, chosen
-by a hash of the id, and ``WINDOWS_PER_TEXT`` windows spread over the whole
-of each text. Everything else runs over all rows in Arrow batches.
+a sample of labelled rows: of each language the ``PER_LANG`` distinct rows of
+smallest hash of id and text (all, if there are fewer), and
+``WINDOWS_PER_TEXT`` windows spread over the whole of each text, cut in the
+tasks. Everything else runs over all rows in Arrow batches.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; so is everything if no labelled row exists. Rows with null label or text
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import small_batches
@@ -113,30 +114,49 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = EPOCHS, se
     return model
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, data, offsets in chunks(batch.column("text")):
+            all_windows, n = windows(data, offsets)
+            begin = np.cumsum(n) - n
+            cut = [all_windows[a + np.unique(np.linspace(0, k - 1, WINDOWS_PER_TEXT).astype(int))].tobytes() for a, k in zip(begin, n)]
+            yield pa.RecordBatch.from_arrays([*batch.slice(row, len(n)).drop_columns(["text"]).columns, pa.array(cut, pa.binary())],
+                                             names=["lang", "hash", "windows"])
+
+
+def learning_sample(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+                    per_lang: int = PER_LANG) -> DataFrame | None:
+    """lang, hash, windows: the ``per_lang`` distinct rows of smallest hash of each language; None without labelled rows."""
+    small_batches(labelled.sparkSession)
+    rows = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.lit("lang"), F.col(doc_id).cast("string"), F.col(text)).alias("hash"),
+                           F.col(text).alias("text"))
+    rows = rows.where("lang is not null and text is not null").where(F.col("text").rlike("\\p{L}"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("hash")).collect()  # one row a language
+    if not counts:
+        return None
+    # twice the rows wanted are drawn, so that the estimate's error costs none; all 64 bits count
+    below = {k: int(min(1.0, 2 * per_lang / max(c, 1)) * 2 ** 64) - 2 ** 63 - 1 for k, c in counts}
+    limit = F.element_at(F.create_map(*[F.lit(v).cast(t) for k, b in below.items() for v, t in ((k, "string"), (b, "long"))]), F.col("lang"))
+    drawn = rows.where(F.col("hash") <= limit).mapInArrow(_cut, "lang string, hash long, windows binary")
+    # repeated rows count once; both limits apply before the shuffles too
+    once = Window.partitionBy("lang", "hash").orderBy("windows")
+    drawn = drawn.withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    first = Window.partitionBy("lang").orderBy("hash")
+    return drawn.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_lang).drop("_n")
+
+
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
           per_lang: int = PER_LANG) -> dict:
     """Fits the network on a bounded sample of (id, text, lang) rows."""
-    rows = labelled.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.where("lang is not null and text is not null").where(F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    if not counts:
+    sample = learning_sample(labelled, doc_id, text, lang, per_lang)
+    if sample is None:
         return {"langs": []}
-    share = F.element_at(F.create_map(*[F.lit(v) for k, c in counts.items() for v in (k, min(1.0, per_lang / c))]), F.col("lang"))
-    drawn = F.pmod(F.xxhash64(F.lit("lang"), F.coalesce("id", F.lit(""))), F.lit(1 << 20)) / (1 << 20) < share
-    small_batches(labelled.sparkSession)
-    table = rows.where(drawn).select("text", "lang").orderBy("lang", F.xxhash64("text"), "text").limit(2 * per_lang * len(counts)).toArrow()
-    langs, x, y = sorted(counts), [], []
-    for chunk in table.combine_chunks().to_batches():
-        labels = chunk.column("lang").to_pylist()
-        for row, data, offsets in chunks(chunk.column("text")):
-            all_windows, n = windows(data, offsets)
-            at = 0
-            for i, k in enumerate(n):
-                pick = np.unique(np.linspace(0, k - 1, WINDOWS_PER_TEXT).astype(int)) if k else []
-                x.append(all_windows[at:at + k][pick])
-                y += [langs.index(labels[row + i])] * len(pick)
-                at += k
-    return fit(np.concatenate(x), np.array(y), langs)
+    table = sample.toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
+    labels = table.column("lang").to_pylist()
+    langs = sorted(set(labels))
+    x = [np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for w in table.column("windows").to_pylist()]
+    y = np.repeat([langs.index(k) for k in labels], [len(w) for w in x])
+    return fit(np.concatenate(x), y, langs)
 
 
 def identify(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 
-from intentlab.llm import idfiles
+from intentlab.llm import idfiles, langid
 
 
 def test_ids_of_added_tokens_are_the_librarys(spark):
@@ -22,3 +22,15 @@ def test_ids_of_added_tokens_are_the_librarys(spark):
     assert library.encode(texts[0], add_special_tokens=False).ids == [482, 220, 50256, 12876]
     got = idfiles.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_every_language_is_learned_from(spark, monkeypatch):
+    """Null ids and repeated rows: each language has its full number of distinct rows in the sample."""
+    rows = [(None, f"{lang} wort {chr(97 + i % 26)}{chr(97 + i // 26)}", lang) for lang in ("de", "en", "es", "fr") for i in range(300)]
+    rows += [(1, "the one", "xx")] * 300
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda x, y, langs: seen.update(x=x, y=y, langs=langs) or {"langs": langs})
+    langid.train(labelled, per_lang=20)
+    assert seen["langs"] == ["de", "en", "es", "fr", "xx"] and np.bincount(seen["y"]).tolist() == [20, 20, 20, 20, 1]
+    assert len(np.unique(seen["x"], axis=0)) == 81
