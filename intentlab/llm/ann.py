@@ -8,9 +8,10 @@ axes that its rotated form is nearest to. Every vector is indexed in all
 cut into blocks of bounded size on both sides; a group returns each query's
 best by exact inner products, in double precision, on the original vectors.
 
-``probes`` is measured: for up to ``SAMPLE`` queries, drawn by a hash, the
-true neighbours are found by brute force against all rows, and the smallest
-number of probes is taken that finds ``RECALL`` of them.
+``probes`` is measured for each length of vectors: for up to ``SAMPLE``
+queries of that length, drawn by a hash, the true neighbours are found by
+brute force against all rows, and the smallest number of probes is taken that
+finds ``RECALL`` of them.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components, and rows without an id, take no part; repeated ids count once
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,13 +80,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), raw], ["vec_id", "v"])
 
 
-def _hashed(probes: int):
+def _hashed(probes: int | dict[int, int]):
+    """Cells of every vector; ``probes`` for all or by length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _by_length(batch):
                 x = vectors(part.column("v"))
+                n = probes[x.shape[1]] if isinstance(probes, dict) else probes
                 for t in range(TABLES):
-                    found = axes(x, t, probes)
+                    found = axes(x, t, n)
                     row = np.repeat(np.arange(len(x)), found.shape[1])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(row), t, np.int32)), pa.array(found.ravel().astype(np.int32)),
@@ -116,15 +120,15 @@ def _meet(k: int):
     return run
 
 
-def _scanned(sample: pa.Table, k: int):
+def _scanned(samples: dict[int, pa.Table], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, q = sample.column("vec_id").to_numpy(), vectors(sample.column("v"))
-        held: dict[int, list] = {int(i): [] for i in query_ids}
+        by_length = {n: (s.column("vec_id").to_numpy(), vectors(s.column("v"))) for n, s in samples.items()}
+        held: dict[int, list] = {int(i): [] for query_ids, _ in by_length.values() for i in query_ids}
         for batch in batches:
             for part in _by_length(batch):
                 x = vectors(part.column("v"))
-                if x.shape[1] == q.shape[1]:
-                    ids = part.column("vec_id").to_numpy()
+                if x.shape[1] in by_length:
+                    ids, (query_ids, q) = part.column("vec_id").to_numpy(), by_length[x.shape[1]]
                     for r, c, s in zip(*_best(ids, x, query_ids, q, k)):
                         held[int(query_ids[r])].append((-s, int(ids[c]), x[c].tobytes()))
             for i in held:
@@ -141,14 +145,20 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def probes_needed(points: DataFrame, queries: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE) -> int:
-    """The smallest number of probes that finds ``recall`` of a sample's true neighbours."""
-    drawn = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    if not len(drawn):
-        return 1
-    size = len(drawn.column("v")[0].as_py())
-    drawn = drawn.filter(pa.array([len(v.as_py()) == size for v in drawn.column("v")]))
+def probes_needed(points: DataFrame, queries: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE) -> dict[int, int]:
+    """By length of the queries, the smallest number of probes that finds ``recall`` of a sample's true neighbours."""
+    size = F.octet_length("v")
+    sizes = [r[0] for r in queries.select(size).distinct().collect()]  # one row a length
+    drawn = {n // 8: queries.where(size == n).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow() for n in sizes}
+    if not drawn:
+        return {}
     true = _top(points.mapInArrow(_scanned(drawn, k), "query_id long, score double, vec_id long, v binary"), k).toArrow()  # k rows a query
+    lengths = pc.divide(pc.binary_length(true.column("v")), 8)
+    return {n: _probes_of(s, true.filter(pc.equal(lengths, n)), recall) for n, s in drawn.items()}
+
+
+def _probes_of(drawn: pa.Table, true: pa.Table, recall: float) -> int:
+    """Probes for vectors of one length, by its sampled queries and their true neighbours."""
     if not len(true):
         return 1
     where = {i: n for n, i in enumerate(drawn.column("vec_id").to_pylist())}

@@ -4,8 +4,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from intentlab.llm import idfiles, langid
+from intentlab.llm import ann, idfiles, langid
 
 
 def test_ids_of_added_tokens_are_the_librarys(spark):
@@ -34,3 +35,18 @@ def test_every_language_is_learned_from(spark, monkeypatch):
     langid.train(labelled, per_lang=20)
     assert seen["langs"] == ["de", "en", "es", "fr", "xx"] and np.bincount(seen["y"]).tolist() == [20, 20, 20, 20, 1]
     assert len(np.unique(seen["x"], axis=0)) == 81
+
+
+def test_probes_are_measured_for_every_length(spark):
+    """Two short vectors, one of them first in the draw, leave the recall of the long ones as it is."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 24))
+    ids = spark.range(0, 40000, 20).withColumn("h", F.xxhash64("id")).toPandas()
+    first = int(ids[ids.id >= 900].sort_values("h").id.iloc[0])
+    assert ids[ids.id == first].h.item() < ids[ids.id < 900].h.min()
+    rows = [(i, [float(v) for v in x[i]]) for i in range(900)] + [(first, [1.0, 2.0, 3.0]), (first + 1, [1.0, 2.0, 2.5])]
+    got = {(r.query_id, r.vec_id) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert np.mean([(q, i) in got for q in range(0, 900, 20) for i in np.argsort(-s[q])[:20]]) >= 0.9
+    assert (first, first + 1) in got
