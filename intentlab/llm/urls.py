@@ -8,10 +8,12 @@ node (host, template so far):
 
 * variable segments are generalised: a run of digits becomes ``{n}``, a
   long hexadecimal one ``{h}``, other text that is no branch of its own ``*``;
-* a segment is a branch of its own when it has ``MIN_PAGES`` pages and its share
-  of blocked or of allowed pages exceeds that of its siblings by ``MIN_Z``
-  standard errors. Statistically similar branches thus merge in the wildcard;
-* below ``DEPTH`` levels the rest of a path is ``**``.
+* a segment is a branch of its own when its share of blocked or of allowed
+  pages exceeds that of its siblings by ``MIN_Z`` standard errors; below
+  ``MIN_PAGES`` pages the exact (hypergeometric) chance of such a share decides, at
+  the same level. Statistically similar branches thus merge in the wildcard;
+* the tree goes on as long as a node holds pages of different labels; further
+  segments cannot be branches and are generalised at once.
 
 A template is rejected when its smoothed purity, (blocked + PRIOR * share of
 blocked pages overall) / (pages + PRIOR), reaches ``PURITY``: pages that no
@@ -25,6 +27,8 @@ repeated rows are judged alike, each in a row of its own.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +36,9 @@ from ..config import materialize
 
 #: (rule, verdict); a rule is a host and a path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DEPTH, MIN_PAGES, MIN_Z, PRIOR, PURITY = 6, 20, 3.0, 10.0, 0.5
+MIN_PAGES, MIN_Z, PRIOR, PURITY = 20, 3.0, 10.0, 0.5
+#: The one-sided normal tail beyond MIN_Z.
+MAX_CHANCE = math.erfc(MIN_Z / math.sqrt(2)) / 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,27 +74,54 @@ def _exceeds(share: str, pages: Column, all_pages: Column) -> Column:
     return F.when(all_pages > pages, (own - rest) / error).otherwise(F.lit(0.0))
 
 
-def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _chance(share: str, pages: Column, all_pages: Column) -> Column:
+    """The chance that a branch of fewer than ``MIN_PAGES`` pages has so many of its node's labels or more."""
+    got, labels = F.col(share), F.col(f"all_{share}")
+
+    def drawn(k: Column) -> Column:
+        # k labelled pages, then the others, each without replacement; times their orders
+        one = F.lit(1.0)
+        with_label = F.aggregate(F.sequence(F.lit(1), k), one, lambda p, i: p * (labels - i + 1) / (all_pages - i + 1) * (pages - i + 1) / i)
+        others = F.when(k < pages, F.aggregate(F.sequence(F.lit(1), (pages - k).cast("int")), one, lambda p, i: p * F.greatest(
+            all_pages - labels - i + 1, F.lit(0)) / (all_pages - k - i + 1))).otherwise(one)
+        return with_label * others
+
+    most = F.least(pages, labels).cast("int")
+    tail = F.aggregate(F.sequence(got.cast("int"), most), F.lit(0.0), lambda p, k: p + drawn(k))
+    return F.when((pages < MIN_PAGES) & (got > 0), tail).otherwise(F.lit(1.0))
+
+
+def _stands_alone(share: str, pages: Column, all_pages: Column) -> Column:
+    exact = (all_pages > pages) & (_chance(share, pages, all_pages) <= MAX_CHANCE)
+    return F.when(pages < MIN_PAGES, exact).otherwise(_exceeds(share, pages, all_pages) >= MIN_Z)
+
+
+def templates(paths: DataFrame) -> DataFrame:
     """``paths`` (host, path, pages, blocked, allowed; one row a pair) with its template."""
     rows = paths.withColumn("segments", F.split("path", "/")).withColumn("template", F.lit(""))
     deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(1, min(depth, deepest - 1) + 1):
+    level = 1
+    while level < deepest:
         rows = materialize(rows, "url-level")
         at = F.get("segments", F.lit(level))
         here = rows.where(F.size("segments") > level).withColumn("segment", at)
         branch = here.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")])
         node = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "blocked", "allowed")])
         pages, all_pages = F.col("pages"), F.col("all_pages")
-        own = (branch.where(F.col("pages") >= MIN_PAGES).join(node, ["host", "template"])
-               .where((_exceeds("blocked", pages, all_pages) >= MIN_Z) | (_exceeds("allowed", pages, all_pages) >= MIN_Z))
+        mixed = node.where("0 < all_blocked and all_blocked < all_pages or 0 < all_allowed and all_allowed < all_pages")
+        if mixed.isEmpty():
+            break
+        own = (branch.join(mixed, ["host", "template"])
+               .where(_stands_alone("blocked", pages, all_pages) | _stands_alone("allowed", pages, all_pages))
                .select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("segment").alias("_s")))
         met = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (at == F.col("_s"))
         rows = rows.join(own, met, "left")
         label = F.coalesce(F.col("_s"), shape(at))
         rows = rows.withColumn("template", F.when(F.size("segments") > level, F.concat("template", F.lit("/"), label))
                                .otherwise(F.col("template"))).drop("_h", "_t", "_s")
-    more = F.size("segments") > depth + 1
-    return rows.withColumn("template", F.when(more, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
+        level += 1
+    rest = F.transform(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), lambda s: F.concat(F.lit("/"), shape(s)))
+    return rows.withColumn("template", F.concat("template", F.array_join(rest, ""))).drop("segments")
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from intentlab.llm import ann, idfiles, langid
+from intentlab.llm import ann, idfiles, langid, urls
 
 
 def test_ids_of_added_tokens_are_the_librarys(spark):
@@ -50,3 +50,14 @@ def test_probes_are_measured_for_every_length(spark):
     np.fill_diagonal(s, -np.inf)
     assert np.mean([(q, i) in got for q in range(0, 900, 20) for i in np.argsort(-s[q])[:20]]) >= 0.9
     assert (first, first + 1) in got
+
+
+def test_small_and_deep_branches_stand_alone(spark):
+    small = [f"http://h.example.com/de/p{i}" for i in range(19)] + [f"http://h.example.com/{s}/p{i}" for s in ("en", "fr") for i in range(3)]
+    deep = [f"http://deep.com/a/b/c/d/e/f/g/{s}/{i}" for s in ("bad", "good") for i in range(30)]
+    rules = (*urls.RULES, *[(f"deep.com/a/b/c/d/e/f/g/bad/{i}", "block") for i in range(10, 30)])
+    df = spark.createDataFrame(list(enumerate(small + deep)), "page_id long, url string")
+    got = urls.judge(df, rules=rules).collect()
+    assert {r.verdict for r in got if "/de/" in r.path or "/bad/" in r.path} == {"block"}
+    assert {r.verdict for r in got if "/de/" not in r.path and "/bad/" not in r.path} == {"allow"}
+    assert all("**" not in r.template for r in got)
