@@ -10,7 +10,9 @@ operator rejects it:
    probability below 0.4, go. The network learns from their ``lang``.
 3. near-duplicates on five-word shingles at 0.8: of each group the row of
    smallest id stays.
-4. mixing: every row occurs as often as the mix takes it (0 to 2 times).
+4. mixing: every row occurs as often as the mix takes it (0 to 2 times); the
+   copies of rows equal in id, text and source go to them in the order of
+   their other columns, the most to the first.
 5. SentencePiece: ids of every row, with the digest of the decoded text.
 
 Rows with null text or id pass the stages by the operators' defined results (a
@@ -20,7 +22,7 @@ row with null text has no letter and goes in stage 2).
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intentlab.config import scratch_path
@@ -56,14 +58,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     taken = mixing.mix(docs.withColumn("_h", F.xxhash64("text")), keep=("_h",))
-    taken = taken.where("copies > 0").groupBy("doc_id", "_h", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), F.col("source").alias("_s"), "copies", "rows")
+    # of a group's rows, how many are taken at least once, twice
+    at_least = [F.sum((F.col("copies") >= n).cast("long")) for n in range(1, mixing.MAX_COPIES + 1)]
+    taken = taken.groupBy("doc_id", "_h", "source").agg(F.count("*").alias("_rows"), F.array(*at_least).alias("_taken")).where("_taken[0] > 0")
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), F.col("source").alias("_s"), "_rows", "_taken")
     met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s"))
     rows = docs.join(taken, met)
-    # rows repeated whole share their copies: one of them carries all
-    first = rows.where("rows > 1").dropDuplicates(["doc_id", "_k", "source"])
-    rows = rows.where("rows = 1").unionByName(first)
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    kept = [*docs.columns, "_k", "_taken"]
+    alone = rows.where("_rows = 1").select(*kept, F.lit(1).cast("long").alias("_n"), F.lit(0).cast("long").alias("_before"))
+    # rows repeated whole count together; what differs in other columns only is numbered
+    several = rows.where("_rows > 1").groupBy(*kept).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("doc_id", "_k", "source").orderBy(*docs.columns)
+    several = several.withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
+    rows = alone.unionByName(several)
+    copies = F.aggregate("_taken", F.lit(0).cast("long"), lambda a, t: a + F.greatest(
+        F.least(t, F.col("_before") + F.col("_n")) - F.col("_before"), F.lit(0)))
+    rows = rows.withColumn("_copies", copies).where("_copies > 0")
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

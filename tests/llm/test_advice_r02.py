@@ -6,7 +6,8 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from intentlab.llm import ann, idfiles, langid, urls
+import corpus_pipeline
+from intentlab.llm import ann, idfiles, langid, mixing, urls
 
 
 def test_ids_of_added_tokens_are_the_librarys(spark):
@@ -61,3 +62,14 @@ def test_small_and_deep_branches_stand_alone(spark):
     assert {r.verdict for r in got if "/de/" in r.path or "/bad/" in r.path} == {"block"}
     assert {r.verdict for r in got if "/de/" not in r.path and "/bad/" not in r.path} == {"allow"}
     assert all("**" not in r.template for r in got)
+
+
+def test_repeated_rows_share_what_the_mix_takes(spark):
+    rows = [(i, f"text {i} " + "w " * (i % 7), lang, s, 9) for i in range(90) for s in (["abc"[i % 3]]) for lang in ("de", "de", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = mixing.mix(docs.withColumn("key", F.xxhash64("text"))).groupBy("doc_id").agg(F.sum("copies").alias("n"), F.sum("taken").alias("words")).where("n > 0")
+    got = corpus_pipeline.mix_sources(spark, docs, "").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.sum(mixing.n_words(F.col("text"))).alias("words"), F.sum((F.col("lang") == "en").cast("int")).alias("en"))
+    assert sorted((r.doc_id, r.n, r.words) for r in taken.collect()) == sorted((r.doc_id, r.n, r.words) for r in got.collect())
+    assert max(r.en for r in got.collect()) <= mixing.MAX_COPIES
+    assert corpus_pipeline.mix_sources(spark, docs, "").dtypes == docs.dtypes
