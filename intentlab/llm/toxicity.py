@@ -70,6 +70,13 @@ def term_features(term: str) -> np.ndarray:
     return np.unique(features(raw, np.array([0, len(raw)]))[1])
 
 
+def term_words(term: str) -> np.ndarray:
+    """The features of the term's whole words, without their prefixes."""
+    raw = np.frombuffer(term.encode(), np.uint8)
+    ends = np.array([0, len(raw)])
+    return features(raw, ends)[1][:len(word_spans(raw, ends, BREAKS)[0])]
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offsets in chunks(batch.column("text")):
@@ -106,7 +113,7 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float],
 
     # counterfactual copies as differences of features: + the term's, - the other's (or nothing)
     diff_row, diff_col, diff_sign, n_diff = [], [], [], 0
-    have = {t: set(row[np.isin(flat, f[:1])]) for t, f in by_term.items()}
+    have = {t: set.intersection(*[set(row[flat == f]) for f in term_words(t)]) for t in by_term}
     for group in terms:
         for t in group:
             for _ in have[t]:

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from intentlab.llm import ann, idfiles, langid, mixing, urls
+from intentlab.llm import ann, idfiles, langid, mixing, toxicity, urls
 
 
 def test_ids_of_added_tokens_are_the_librarys(spark):
@@ -73,3 +73,14 @@ def test_repeated_rows_share_what_the_mix_takes(spark):
     assert sorted((r.doc_id, r.n, r.words) for r in taken.collect()) == sorted((r.doc_id, r.n, r.words) for r in got.collect())
     assert max(r.en for r in got.collect()) <= mixing.MAX_COPIES
     assert corpus_pipeline.mix_sources(spark, docs, "").dtypes == docs.dtypes
+
+
+def test_a_shared_prefix_is_no_mention():
+    """Words that begin like a term get no counterfactual copies; the term itself does."""
+    def model(word, penalty):
+        texts = [f"w{chr(97 + i % 13)} {word if i % 2 else 'calm'}" for i in range(400)]
+        lists = [np.unique(toxicity.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[1]) for t in texts]
+        return toxicity.fit(lists, np.arange(400) % 2, (0.5, 0.5), penalty=penalty, steps=60)["weights"]
+    for word in ("strange", "straightens", "blinds", "christmas", "buddhistic"):
+        assert (model(word, 0.0) == model(word, 30.0)).all(), word
+    assert (model("straight", 0.0) != model("straight", 30.0)).any()
