@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, idfiles, langid, mixing, neardup, quotes, spm, toxicity, urls
+from . import ann, fim, fingerprints, idfiles, langid, mixing, neardup, quotes, spelling, spm, toxicity, urls
 
 QUERIES, SQL = {}, {}
 
@@ -105,3 +105,19 @@ def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op7_quotation_linking"] = quotes.SQL
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_fill_in_middle"] = fim.SQL
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_spelling_variants"] = spelling.SQL
