@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fim, fingerprints, idfiles, langid, mixing, neardup, quotes, spelling, spm, toxicity, urls
+from . import ann, docquality, fim, fingerprints, idfiles, langid, mixing, neardup, quotes, spelling, spm, toxicity, urls
 
 QUERIES, SQL = {}, {}
 
@@ -121,3 +121,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_spelling_variants"] = spelling.SQL
+
+
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = docquality.train(docs, labels.where(fold("doc_id", 5) != 0))
+    out = docquality.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": fold("doc_id", 5) == 0})
+    return out.withColumn("predicted", (F.col("score") >= docquality.THRESHOLD).cast("int"))
