@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from ..config import shuffle_partitions
 
 PIECE = 1 << 14
+PARTITION = 64 << 20  # bytes of text a sorted partition holds on average, at most
 
 
 class Options(NamedTuple):
@@ -133,9 +134,10 @@ def _documents(pieces: Iterator[tuple]) -> Iterator[tuple]:
 
 def assembled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", options: Options = Options()) -> RDD:
     """The output of every document as pieces: ((document, position), (head, marker, bytes)), in order within a partition."""
-    rows = docs.select(F.col(doc_id), F.col(text).cast("string")).rdd
-    partitions = max(shuffle_partitions(docs.sparkSession), rows.getNumPartitions())
-    return _by_position(rows.mapPartitionsWithIndex(_pieces(options)), partitions)
+    rows = docs.select(F.col(doc_id), F.col(text).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(shuffle_partitions(docs.sparkSession), -(-size // PARTITION))
+    return _by_position(rows.rdd.mapPartitionsWithIndex(_pieces(options)), partitions)
 
 
 def _digested(options: Options):
