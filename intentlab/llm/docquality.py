@@ -186,8 +186,12 @@ def train(texts: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if not n0 or not n1:
         return _constant(n1 / (n0 + n1) if n0 + n1 else 1.0)
-    first = Window.partitionBy("label").orderBy(F.xxhash64(F.lit("quality"), F.col("key")), "key")
-    sample = marks.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_class).drop("_n")
+    # twice the ids wanted are drawn by all 64 bits of the hash, so the order is taken over few
+    below = [int(min(1.0, 2 * per_class / n) * 2 ** 64) - 2 ** 63 - 1 for n in (n0, n1)]
+    drawn = marks.withColumn("_hash", F.xxhash64(F.lit("quality"), F.col("key"))).where(
+        F.col("_hash") <= F.when(F.col("label") == 1, F.lit(below[1])).otherwise(F.lit(below[0])))
+    first = Window.partitionBy("label").orderBy("_hash", "key")
+    sample = drawn.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_class).select("key", "label")
     rows = texts.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.join(F.broadcast(sample), "key")  # at most 2 * per_class rows
     key = texts.schema[doc_id].dataType.simpleString()
