@@ -11,7 +11,7 @@ reach the driver, as for any Spark ML model.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel, keyword_only
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -22,18 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import columns as C
-from .ranking import quantiles_from_counts, value_counts
-
-
-def _long_form(df: DataFrame, cols: list[str], value_type: str = "double") -> DataFrame:
-    """(feature, value) rows for the given columns (NaN -> null)."""
-    stack = "stack({}, {}) as (feature, value)".format(
-        len(cols), ", ".join(f"'{c}', CAST(`{c}` AS {value_type})" for c in cols)
-    )
-    out = df.selectExpr(stack)
-    if value_type == "double":
-        out = out.withColumn("value", C.nan_to_null("value"))
-    return out
+from . import selection
 
 
 def numeric_fill_values(df: DataFrame, cols: list[str], strategy: str = "median") -> dict[str, float]:
@@ -43,15 +32,7 @@ def numeric_fill_values(df: DataFrame, cols: list[str], strategy: str = "median"
         return {c: row[c] for c in cols}
     if strategy != "median":
         raise ValueError(f"unknown strategy {strategy!r}")
-    # the distinct-value table feeds three passes (quantile bounds, running
-    # counts, totals); it is cached for the duration of this fit only
-    counts = value_counts(_long_form(df, cols), "feature", "value").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        q = quantiles_from_counts(counts, "feature", "value", (0.5,), midpoint="mean")
-        got = {r["feature"]: r["q_0"] for r in q.collect()}  # one row per column
-    finally:
-        counts.unpersist()
-    return {c: got.get(c) for c in cols}
+    return selection.medians(df, cols)
 
 
 def mean_and_scale(df: DataFrame, cols: list[str], fills: dict[str, float]) -> tuple[dict, dict]:

@@ -1,20 +1,21 @@
 """Classifiers, class weights, cross-validation, hold-out evaluation.
 
 Four model families with the reference's default hyperparameters, as
-Spark ML estimators inside one Pipeline with the exact preprocessing, so
-preprocessing is refitted inside every fold. Boosting is Spark's
-first-order ``GBTClassifier``, near XGBoost in form only.
+estimators behind the exact preprocessing, which every fold's complement fits
+anew: from one cube of fold statistics (``foldcube``), with the features of a complement
+written once for all models. The tree has exact splits (``exacttree``), boosting is
+second-order over histograms (``boosting``); both grow all complements in the same jobs.
+The forest is Spark ML's, with binned splits.
 """
 
 from __future__ import annotations
 
 import copy
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import columns as C
-from . import metrics
+from ..config import materialize
+from . import foldcube, metrics
+from .boosting import SecondOrderBooster
+from .exacttree import ExactTree
 from .features import build_preprocessor, feature_names
 
 MODEL_NAMES = list(S.MODEL_DEFAULTS)
@@ -140,10 +144,7 @@ def build_classifier(name: str, params: dict, seed: int = S.RANDOM_STATE):
     if name == "LR_baseline":
         return PenalisedLogistic(C=float(params["C"]))
     if name == "DT_medium":
-        return DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                      maxDepth=int(params["max_depth"]),
-                                      minInstancesPerNode=int(params["min_samples_leaf"]),
-                                      impurity=str(params["criterion"]), seed=seed)
+        return ExactTree(depth=int(params["max_depth"]), minLeaf=int(params["min_samples_leaf"]), criterion=str(params["criterion"]))
     if name == "RF_baseline":
         if int(params["max_depth"]) > MAX_DEPTH:
             raise ValueError(f"max_depth {params['max_depth']} is above Spark ML's limit of {MAX_DEPTH}")
@@ -151,11 +152,8 @@ def build_classifier(name: str, params: dict, seed: int = S.RANDOM_STATE):
                                       numTrees=int(params["n_estimators"]), maxDepth=int(params["max_depth"]),
                                       featureSubsetStrategy=str(params["max_features"]), seed=seed)
     if name == "XGBoost":
-        return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                             maxIter=int(params["n_estimators"]), stepSize=float(params["learning_rate"]),
-                             maxDepth=int(params["max_depth"]), subsamplingRate=float(params["subsample"]),
-                             featureSubsetStrategy=str(float(params["colsample_bytree"])), seed=seed,
-                             checkpointInterval=10)
+        return SecondOrderBooster(rounds=int(params["n_estimators"]), rate=float(params["learning_rate"]), depth=int(params["max_depth"]),
+                                  rowShare=float(params["subsample"]), columnShare=float(params["colsample_bytree"]), seed=seed)
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -175,40 +173,73 @@ def positive_probability(df: DataFrame, prob_col: str = "probability", out: str
     return df.withColumn(out, vector_to_array(F.col(prob_col))[1])
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: Model, df: DataFrame) -> DataFrame:
     """Model output with ``p`` (class-1 probability) and integer ``prediction``."""
     out = positive_probability(model.transform(df))
     return out.withColumn("prediction", F.col("prediction").cast("int"))
 
 
+class PreparedFolds:
+    """The training part with the features of every fold's complement, and of all rows, fitted from one fold cube.
+
+    Each complement's features are written once (key, label, fold, features of every training row)
+    and read by all models.
+    """
+
+    def __init__(self, train: DataFrame, preprocessing: dict | None = None, fold_col: str = "fold", label: str = "label"):
+        pre = preprocessing or {}
+        self.fold_col, self.label = fold_col, label
+        self.cube = foldcube.measure(train, fold_col, label, pre.get("numeric_imputer_strategy", "median"), pre.get("excluded_features"))
+        self.statistics = {k: self.cube.statistics(k) for k in self.cube.complements()}
+        self.preprocessors = {k: foldcube.preprocessor(self.cube, train, k) for k in self.cube.complements()}
+        kept = [c for c in (S.KEY, label, fold_col) if c in train.columns]
+
+        def write(k):
+            return materialize(self.preprocessors[k].transform(train).select(*kept, "features"), "fold-features")
+        with ThreadPoolExecutor(max_workers=len(self.preprocessors)) as pool:
+            self.tables = dict(zip(self.preprocessors, pool.map(write, self.preprocessors)))
+
+    def weighter(self, k, name: str, params: dict) -> "ClassWeighterModel":
+        w0, w1 = self.statistics[k].class_weights()
+        if name == "XGBoost":
+            w0, w1 = 1.0, float(params.get("scale_pos_weight", 5))
+        return ClassWeighterModel(labelCol=self.label, weightCol="weight", weight0=w0, weight1=w1)
+
+    def fitted(self, name: str, params: dict, left_out: list, parallelism: int | None = None) -> dict:
+        """Per left-out fold (``None``: nothing) the classifier fitted on the rest."""
+        sets = []
+        for k in left_out:
+            rows = self.weighter(k, name, params).transform(self.tables[k])
+            sets.append(rows if k is None else rows.where(F.col(self.fold_col) != k))
+        classifier = build_classifier(name, params)
+        if hasattr(classifier, "fit_many"):  # grown in the same jobs
+            return dict(zip(left_out, classifier.fit_many(sets)))
+        # each fit is a distributed job of its own; submitted together, their tasks interleave
+        with ThreadPoolExecutor(max_workers=max(1, parallelism or len(sets))) as pool:
+            return dict(zip(left_out, pool.map(classifier.fit, sets)))
+
+    def pipeline(self, name: str, params: dict, classifier: Model, k=None) -> PipelineModel:
+        return PipelineModel([*self.preprocessors[k].stages, self.weighter(k, name, params), classifier])
+
+    def held_out_auc(self, models: dict) -> DataFrame:
+        """(fold, auc) of the left-out folds, each scored by the model that has not seen it."""
+        out = None
+        for k, model in models.items():
+            rows = score(model, self.tables[k].where(F.col(self.fold_col) == k)).select(
+                F.lit(k).cast("int").alias("fold"), F.col(self.label).alias("label"), "p")
+            out = rows if out is None else out.unionByName(rows)
+        auc = metrics.roc_auc(materialize(out, "held-out-scores"), "label", "p", by=["fold"])
+        return auc.select("fold", F.col("roc_auc").alias("auc"))
+
+
 def cross_validate(name: str, params: dict, train: DataFrame, preprocessing: dict | None = None,
-                   folds: int = S.CV_FOLDS, fold_col: str = "fold", parallelism: int | None = None) -> DataFrame:
-    """AUC of each fold, the whole pipeline refitted on the other folds.
-
-    Each fit is itself a distributed job; the fold fits are submitted
-    together from driver threads (like CrossValidator's ``parallelism``;
-    default: all folds at once, as the reference's n_jobs=-1), so the
-    scheduler interleaves their tasks. Same results as one after another.
-    Returns a (fold, auc) frame for ``metrics.cv_summary``.
+                   fold_col: str = "fold", parallelism: int | None = None, prepared: PreparedFolds | None = None) -> DataFrame:
+    """AUC of each fold, preprocessing and classifier refitted on the other folds.
+
+    ``prepared`` shares the features among models. Returns a (fold, auc) frame for ``metrics.cv_summary``.
     """
-    parallelism = folds if parallelism is None else parallelism
-    from concurrent.futures import ThreadPoolExecutor
-
-    def one(k: int) -> DataFrame:
-        model = build_pipeline(name, params, preprocessing).fit(train.where(F.col(fold_col) != k))
-        held = score(model, train.where(F.col(fold_col) == k))
-        auc = metrics.roc_auc(held, "label", "p").select(F.lit(k).alias("fold"), F.col("roc_auc").alias("auc"))
-        return auc
-
-    if parallelism > 1:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            parts = list(pool.map(one, range(folds)))
-    else:
-        parts = [one(k) for k in range(folds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    prepared = prepared or PreparedFolds(train, preprocessing, fold_col)
+    return prepared.held_out_auc(prepared.fitted(name, params, prepared.cube.folds, parallelism))
 
 
 def evaluate_holdout(scored_test: DataFrame, threshold: dict | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A run is one evaluated model. The run log is an append-only table
 ``(run_id, run_name, started_at, params MAP<STRING,STRING>,
-metrics MAP<STRING,DOUBLE>)``; versions number the model runs. Ranking is
+metrics MAP<STRING,DOUBLE>, artifacts MAP<STRING,STRING>)`` whose appends are committed as versions
+(``sources.versioned``); versions number the model runs in the order of their commits, so
+a number never changes later. Ranking is
 a query over all runs ever logged, not stored state. The run log grows
 with the number of trainings, not with the session data, so its windows
 are small; the per-run work (scoring and metrics) is where data size
@@ -11,13 +13,13 @@ matters and runs as grouped aggregations.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import columns as C
+from ..sources import versioned
 from . import metrics
 from .decide import realised_wasted_rate
 
@@ -29,6 +31,9 @@ RUN_LOG_SCHEMA = T.StructType([
     T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType()), True),
 ])
 
+#: artifacts are texts: importances (JSON), data_rows and data_hash of the training input
+STORED_SCHEMA = T.StructType([*RUN_LOG_SCHEMA.fields, T.StructField("artifacts", T.MapType(T.StringType(), T.StringType()), True)])
+
 METRIC_NAMES = ["roc_auc", "accuracy", "precision", "recall", "f1", "wasted_discount_rate",
                 "intervention_count", "cv_roc_auc_mean", "cv_roc_auc_std"]
 PARAM_NAMES = ["model_type", "wdr_mode", "wdr_lower", "wdr_upper", "fold"]
@@ -91,13 +96,16 @@ def to_run_log(flat: DataFrame, started_at=None) -> DataFrame:
     )
 
 
-def append_runs(run_log: DataFrame, path: str) -> None:
-    """Append runs to the log (parquet, one file per task)."""
-    run_log.select(*[f.name for f in RUN_LOG_SCHEMA.fields]).write.mode("append").parquet(path)
+def append_runs(run_log: DataFrame, path: str) -> int:
+    """Appends runs to the log as one commit; returns its number."""
+    none = F.lit(None).cast(STORED_SCHEMA["artifacts"].dataType)
+    full = run_log if "artifacts" in run_log.columns else run_log.withColumn("artifacts", none)
+    return versioned.append(full.select(*STORED_SCHEMA.fieldNames()), path)
 
 
-def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_LOG_SCHEMA).parquet(path)
+def read_run_log(spark: SparkSession, path: str, as_of: int | None = None) -> DataFrame:
+    """The committed runs (up to commit ``as_of``), with the number of their commit."""
+    return versioned.read(spark, path, STORED_SCHEMA, as_of)
 
 
 def model_runs(run_log: DataFrame) -> DataFrame:
@@ -114,12 +122,16 @@ def model_runs(run_log: DataFrame) -> DataFrame:
         F.element_at(p, F.lit("wdr_lower")).cast("double").alias("wdr_lower"),
         F.element_at(p, F.lit("wdr_upper")).cast("double").alias("wdr_upper"),
         F.element_at(p, F.lit("fold")).cast("int").alias("fold"),
+        *[F.col(c) for c in ("artifacts", versioned.VERSION) if c in run_log.columns],
     )
 
 
 def number_versions(runs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Registry versions (1, 2, ...) in registration order: (version, run_id)."""
-    o = order or ["started_at", "run_id"]
+    """Registry versions (1, 2, ...) in registration order: (version, run_id).
+
+    Runs of a log are numbered by commit, then id: a later append only adds numbers.
+    """
+    o = order or [versioned.VERSION if versioned.VERSION in runs.columns else "started_at", "run_id"]
     w = Window.orderBy(*[F.col(c) for c in o])  # run-log sized, not data sized
     return runs.select(F.row_number().over(w).cast("int").alias("version"), "run_id")
 
@@ -212,24 +224,31 @@ def variant_score_map(df: DataFrame, variants: dict | None = None) -> DataFrame:
 
 # --- threshold configuration (S9) --------------------------------------------------------
 
-THRESHOLD_SCHEMA = "mode string, lower double, upper double"
+THRESHOLD_SCHEMA = "mode string, lower double, upper double, valid_from long"
 
 
-def write_threshold(spark: SparkSession, path: str, mode: str, lower: float, upper: float) -> None:
-    """Persist (mode, lower, upper) as a one-row table (overwrite)."""
-    spark.createDataFrame([(mode, float(lower), float(upper))], THRESHOLD_SCHEMA).coalesce(1) \
-        .write.mode("overwrite").parquet(path)
+def write_threshold(spark: SparkSession, path: str, mode: str, lower: float, upper: float, valid_from: int = 0) -> int:
+    """Appends (mode, lower, upper) as a dated row, valid from micro-batch ``valid_from`` on; returns its version.
 
+    Rows are never overwritten, so a reader sees the old row or the new one.
+    """
+    row = spark.createDataFrame([(mode, float(lower), float(upper), int(valid_from))], THRESHOLD_SCHEMA)
+    return versioned.append(row.coalesce(1), path)
 
-def read_threshold(spark: SparkSession, path: str) -> dict:
-    """The stored config; scoring defaults when nothing is stored. A damaged table raises."""
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return dict(S.SCORING_THRESHOLD)
-    row = stored.first()
+
+def read_threshold(spark: SparkSession, path: str, batch: int | None = None, version: int | None = None) -> dict:
+    """The row valid at ``batch`` (the newest of all, if None), with its version.
+
+    Valid is the row of largest ``valid_from`` up to the batch; of several, the latest appended. ``version`` reads one version
+    whatever came later. Scoring defaults, as version 0, when nothing is valid. A damaged table raises.
+    """
+    rows = versioned.read(spark, path, THRESHOLD_SCHEMA, version)
+    if version is not None:
+        rows = rows.where(F.col(versioned.VERSION) == version)
+    elif batch is not None:
+        rows = rows.where(F.col("valid_from") <= batch)
+    order = [versioned.VERSION] if batch is None else ["valid_from", versioned.VERSION]
+    row = rows.orderBy(*[F.desc(c) for c in order]).first()
     if row is None:
-        return dict(S.SCORING_THRESHOLD)
-    return {"mode": row["mode"], "lower": row["lower"], "upper": row["upper"]}
+        return {**S.SCORING_THRESHOLD, "version": 0}
+    return {"mode": row["mode"], "lower": row["lower"], "upper": row["upper"], "version": row[versioned.VERSION]}

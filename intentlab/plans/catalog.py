@@ -8,6 +8,7 @@ SQL derives the same sessions independently (``intentlab.oracle``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1079,12 +1080,82 @@ def q_cross_validate(spark, sf):
     from ..operators import models
     s = _ml_split(spark, sf)
     train, out = s.where(~F.col("is_test")), None
-    for name, params in models.model_params().items():
-        folds = models.cross_validate(name, params, train).select(F.lit(name).alias("model_type"), "fold", "auc")
-        out = folds if out is None else out.unionByName(folds)
+    prepared = models.PreparedFolds(train)
+
+    def one(item):
+        return models.cross_validate(*item, train, prepared=prepared).select(F.lit(item[0]).alias("model_type"), "fold", "auc")
+    with ThreadPoolExecutor(max_workers=len(models.MODEL_NAMES)) as pool:
+        for folds in pool.map(one, models.model_params().items()):
+            out = folds if out is None else out.unionByName(folds)
     return out
 
 
+# the training complements of the folds; NULL stands for all rows
+_COMPLEMENTS_SQL = SPLIT_SQL + """,
+left_out AS (SELECT unnest([0, 1, 2, 3, 4, NULL]) AS lf),
+kept AS (SELECT lf, s.* FROM splitted s JOIN left_out ON lf IS NULL OR s.fold <> lf WHERE NOT s.is_test)"""
+_FOLD_NUMBERS_SQL = " UNION ALL ".join(f"SELECT lf, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM kept" for c in S.NUMERIC_FEATURES)
+_FOLD_TEXTS_SQL = " UNION ALL ".join(
+    f"SELECT lf, '{c}' AS feature, {_cat_text_sql(c)} AS txt, CAST({c if c in S.INTEGER_COLUMNS else 'NULL'} AS DOUBLE) AS num FROM kept"
+    for c in S.CATEGORICAL_FEATURES)
+
+
+@register("fold_statistics", with_scored(
+    """SELECT m.lf AS left_out, m.feature, f.fill, round(m.mean, 6) AS mean, round(m.scale, 6) AS scale, NULL::VARCHAR AS mode,
+       NULL::INTEGER AS categories, m.rows FROM moments m JOIN fills f ON f.lf IS NOT DISTINCT FROM m.lf AND f.feature = m.feature
+    UNION ALL SELECT lf, feature, NULL, NULL, NULL, first(txt ORDER BY n DESC, num, txt), CAST(count(*) AS INTEGER),
+       CAST(any_value(rows) AS BIGINT) FROM texts GROUP BY lf, feature""",
+    _COMPLEMENTS_SQL + f""", numbers AS ({_FOLD_NUMBERS_SQL}),
+sorted AS (SELECT lf, feature, list_sort(list(x) FILTER (WHERE x IS NOT NULL)) AS l, count(x) AS n FROM numbers GROUP BY lf, feature),
+fills AS (SELECT lf, feature, (l[(n + 1) // 2] + l[(n + 2) // 2]) / 2 AS fill FROM sorted),
+moments AS (
+  SELECT n.lf, n.feature, avg(coalesce(x, fill)) AS mean, count(*) AS rows,
+    CASE WHEN stddev_pop(coalesce(x, fill)) = 0 THEN 1.0E0 ELSE stddev_pop(coalesce(x, fill)) END AS scale
+  FROM numbers n JOIN fills f ON f.lf IS NOT DISTINCT FROM n.lf AND f.feature = n.feature GROUP BY n.lf, n.feature),
+entries AS ({_FOLD_TEXTS_SQL}),
+sizes AS (SELECT lf, count(*) AS rows FROM kept GROUP BY lf),
+texts AS (
+  SELECT e.lf, feature, txt, num, count(*) AS n, any_value(rows) AS rows FROM entries e JOIN sizes z ON z.lf IS NOT DISTINCT FROM e.lf
+  WHERE txt IS NOT NULL GROUP BY e.lf, feature, txt, num)"""))
+def q_fold_statistics(spark, sf):
+    """What preprocessing learns from each fold's complement and from all rows, merged from one cube."""
+    from ..operators import foldcube
+    table = foldcube.statistics_table(foldcube.measure(_train(spark, sf)), spark)
+    return table.withColumns({"mean": F.round("mean", 6), "scale": F.round("scale", 6)})
+
+
+_TEST_TEXTS_SQL = " UNION ALL ".join(
+    f"SELECT session_id, '{c}' AS feature, {_cat_text_sql(c)} AS txt FROM splitted WHERE is_test" for c in S.CATEGORICAL_FEATURES)
+
+
+@register("train_boosted_second_order", with_scored(
+    """SELECT t.session_id, round(1.0E0 / (1.0E0 + exp(-CASE WHEN max(CAST(t.feature = b.feature AND coalesce(t.txt, m.mode_value) = b.txt AS INTEGER)) = 1
+       THEN -b.g1 / (b.h1 + 1) ELSE -b.g0 / (b.h0 + 1) END)), 9) AS p
+    FROM test_texts t JOIN modes m ON m.feature = t.feature CROSS JOIN best b GROUP BY t.session_id, b.g1, b.h1, b.g0, b.h0""",
+    _COMPLEMENTS_SQL + f""", modes AS ({_MODES_SQL}), entries AS ({_FOLD_TEXTS_SQL}), train_texts AS (
+  SELECT e.feature, coalesce(txt, mode_value) AS txt, label FROM (
+    {" UNION ALL ".join(f"SELECT '{c}' AS feature, {_cat_text_sql(c)} AS txt, label FROM splitted WHERE NOT is_test" for c in S.CATEGORICAL_FEATURES)}
+  ) e JOIN modes m ON m.feature = e.feature),
+whole AS (SELECT sum(CASE WHEN label = 1 THEN -2.5E0 ELSE 5.0E-1 END) AS g, sum(CASE WHEN label = 1 THEN 1.25E0 ELSE 2.5E-1 END) AS h
+  FROM splitted WHERE NOT is_test),
+sides AS (SELECT feature, txt, sum(CASE WHEN label = 1 THEN -2.5E0 ELSE 5.0E-1 END) AS g1,
+  sum(CASE WHEN label = 1 THEN 1.25E0 ELSE 2.5E-1 END) AS h1 FROM train_texts GROUP BY feature, txt),
+gains AS (SELECT *, g - g1 AS g0, h - h1 AS h0, g1 * g1 / (h1 + 1) + (g - g1) * (g - g1) / (h - h1 + 1) - g * g / (h + 1) AS gain FROM sides, whole),
+best AS (SELECT * FROM gains WHERE h1 >= 1 AND h0 >= 1 ORDER BY gain DESC, feature, txt LIMIT 1),
+test_texts AS ({_TEST_TEXTS_SQL})"""))
+def q_train_boosted_second_order(spark, sf):
+    """M9: one boosting step on the categories, whose split and leaf weights SQL finds as well; p of the test sessions."""
+    from ..operators import boosting, models
+    from ..operators.features import build_preprocessor
+    s = split_scored(spark, sf).drop("p")
+    train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    prep = build_preprocessor(excluded_features=S.NUMERIC_FEATURES).fit(train)
+    weighter = models.ClassWeighterModel(labelCol="label", weightCol="weight", weight0=1.0, weight1=5.0)
+    booster = boosting.SecondOrderBooster(rounds=1, rate=1.0, depth=1, rowShare=1.0, columnShare=1.0)
+    model = booster.fit(weighter.transform(prep.transform(train)))
+    return models.score(model, prep.transform(test)).select(S.KEY, F.round("p", 9).alias("p"))
+
+
 @register("evaluate_holdout")
 def q_evaluate_holdout(spark, sf):
     from ..operators import models
@@ -1153,19 +1224,95 @@ def q_stream_score_sessions(spark, sf):
         "intervention_threshold", "model_name", "confidence")
 
 
-@register("stream_threshold_reload")
+@register("stream_threshold_reload", with_scored(
+    """SELECT session_id, round(p, 4) AS purchase_probability,
+       CASE WHEN is_test THEN p < 3.0E-1 ELSE p BETWEEN 3.0E-1 AND 7.0E-1 END AS intervene,
+       CASE WHEN is_test THEN 'lower' ELSE 'range' END AS threshold_mode, CASE WHEN is_test THEN 1 ELSE 2 END AS threshold_version
+    FROM splitted""", SPLIT_SQL))
 def q_stream_threshold_reload(spark, sf):
+    """One running query; the hold-out arrives under the first threshold, the training part after the second was appended."""
     from ..config import scratch_path
     from ..streaming.scoring import stream_with_threshold_reload
     src, sink, ckpt, thr = (scratch_path(spark, n) for n in ("t2-src", "t2-sink", "t2-ckpt", "t2-threshold"))
-    s = split_scored(spark, sf).drop("p", "label", "fold")
+    s = split_scored(spark, sf)
+    test, train = (s.where(c).drop("p", "label", "fold", "is_test") for c in ("is_test", "NOT is_test"))
     registry.write_threshold(spark, thr, "lower", 0.30, 0.70)
-    s.where(F.col("is_test")).drop("is_test").write.parquet(f"{src}/part=1")
-    stream_with_threshold_reload(spark, src, sink, ckpt, thr).awaitTermination()
-    registry.write_threshold(spark, thr, "range", 0.30, 0.70)
-    s.where(~F.col("is_test")).drop("is_test").write.parquet(f"{src}/part=2")
-    stream_with_threshold_reload(spark, src, sink, ckpt, thr).awaitTermination()
-    return spark.read.parquet(sink).select(S.KEY, "purchase_probability", "intervene", "threshold_mode", "batch_id")
+    test.write.mode("append").parquet(src)
+    query = stream_with_threshold_reload(spark, src, sink, ckpt, thr, available_now=False, interval="0 seconds")
+    try:
+        query.processAllAvailable()
+        registry.write_threshold(spark, thr, "range", 0.30, 0.70)
+        train.write.mode("append").parquet(src)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(sink).select(S.KEY, "purchase_probability", "intervene", "threshold_mode", "threshold_version")
+
+
+# --- intake: the same dirtied sessions by file and by stream -------------------------------
+
+# every tenth kind of session is dirtied in one way; by session_id modulo 10
+_DIRTY = {3: ("BounceRates", "1.5"), 5: ("ProductRelated", "abc"), 6: ("Browser", "2.0"), 7: ("Month", None), 9: ("Region", "0")}
+
+
+def dirty_cells(df: DataFrame) -> DataFrame:
+    """Sessions as text cells, some of them unreadable, out of range, missing or in another form."""
+    kind = F.col(S.KEY) % 10
+    out = {c: F.when(kind == k, F.lit(v)).otherwise(F.col(c).cast("string")) for k, (c, v) in _DIRTY.items()}
+    return df.select(F.col(S.KEY).cast("string").alias(S.KEY),
+                     *[out.get(c, F.col(c).cast("string")).alias(c) for c in S.ALL_FEATURES])
+
+
+def _default_sql(c: str) -> str:
+    default = S.DOMAINS[c][2]
+    literal = f"'{default}'" if isinstance(default, str) else str(default).upper() if isinstance(default, bool) else repr(default)
+    value = {"Month": "CASE WHEN session_id % 10 <> 7 THEN Month END", "Browser": "CASE WHEN session_id % 10 = 6 THEN 2 ELSE Browser END"}.get(c, c)
+    return f"coalesce({value}, {literal}) AS {c}"
+
+
+_INTAKE_SQL = f"""
+arrived AS (SELECT session_id, {", ".join(_default_sql(c) for c in S.ALL_FEATURES)} FROM sessions),
+decided AS (SELECT session_id, {P_EXPR} AS p FROM arrived WHERE session_id % 10 NOT IN (3, 5, 9)),
+bad AS (SELECT session_id, CASE session_id % 10 WHEN 3 THEN 'BounceRates' WHEN 5 THEN 'ProductRelated' ELSE 'Region' END AS "column",
+  CASE WHEN session_id % 10 = 5 THEN 'not a whole number in range' ELSE 'out of range' END AS reason,
+  CASE session_id % 10 WHEN 3 THEN '1.5' WHEN 5 THEN 'abc' ELSE '0' END AS text FROM sessions WHERE session_id % 10 IN (3, 5, 9))"""
+_INTAKE_ROWS_SQL = """SELECT session_id, round(p, 4) AS purchase_probability, p < 3.0E-1 AS intervene, NULL::VARCHAR AS "column",
+    NULL::VARCHAR AS reason, NULL::VARCHAR AS text FROM decided
+  UNION ALL SELECT session_id, NULL, NULL, "column", reason, text FROM bad"""
+
+
+def _sides(decided: DataFrame, bad: DataFrame) -> DataFrame:
+    return decided.select(S.KEY, "purchase_probability", "intervene").unionByName(
+        bad.select(S.KEY, "column", "reason", "text"), allowMissingColumns=True)
+
+
+@register("scan_sessions_quarantine", with_sessions(_INTAKE_ROWS_SQL).replace("\nSELECT", f",{_INTAKE_SQL}\nSELECT", 1))
+def q_scan_sessions_quarantine(spark, sf):
+    """CSV with unreadable and out-of-range cells; accepted sessions are scored, rejected cells kept."""
+    from ..config import scratch_path
+    from ..operators import intake
+    path, good, bad = (scratch_path(spark, n) for n in ("dirty-csv", "accepted", "rejected"))
+    dirty_cells(sessions(spark, sf)).write.option("header", True).csv(path)
+    intake.split_csv(spark, path, good, bad)
+    scored_ = spark.read.parquet(good).withColumn("p", C.scorecard())
+    return _sides(decide.with_decisions(scored_), spark.read.parquet(bad))
+
+
+@register("stream_score_json", with_sessions(
+    _INTAKE_ROWS_SQL + " UNION ALL SELECT NULL, NULL, NULL, '', 'not a session object', '{\"session_id\": ' || session_id FROM sessions WHERE session_id % 10 = 1"
+).replace("\nSELECT", f",{_INTAKE_SQL}\nSELECT", 1))
+def q_stream_score_json(spark, sf):
+    """The same cells as a stream of JSON lines, with lines that are cut off among them."""
+    from ..config import scratch_path
+    from ..streaming.scoring import stream_score_json
+    src, sink, bad, ckpt = (scratch_path(spark, n) for n in ("json-src", "json-sink", "json-rejected", "json-ckpt"))
+    rows = dirty_cells(sessions(spark, sf))
+    line = F.to_json(F.struct(*rows.columns, F.lit("x").alias("unknown_field")))
+    cut = F.concat(F.lit('{"session_id": '), F.col(S.KEY))
+    lines = rows.select(F.explode(F.when(F.col(S.KEY).cast("long") % 10 == 1, F.array(line, cut)).otherwise(F.array(line))).alias("value"))
+    lines.write.text(src)
+    stream_score_json(spark, src, sink, bad, ckpt).awaitTermination()
+    return _sides(spark.read.parquet(sink), spark.read.parquet(bad))
 
 
 # --- fingerprints -----------------------------------------------------------------------
