@@ -236,3 +236,16 @@ def test_pipeline_stages(spark):
 def test_pipeline_run(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert rows.count() > 100 and rows.where("n_tokens = 0").count() <= 1
+
+
+def test_pipeline_stages_keep_columns_of_clashing_names(spark):
+    names = ["score", "lang_pred", "_n", "_h", "_k", "_s", "_id", "_rows", "_taken", "_before", "_copies", "_i", "_scored", "key", "toxic", "n", "root", "kept"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).selectExpr("*", *[f"'{c} of ' || doc_id AS `{c}`" for c in names])
+    docs.cache()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+    docs.unpersist()
