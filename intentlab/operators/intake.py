@@ -45,7 +45,10 @@ def _present(c: str) -> Column:
 
 
 def typed(cells: DataFrame) -> DataFrame:
-    """Typed sessions with defaults, ``problems`` and ``accepted``; the key, if there is one, stays null where it is missing."""
+    """Typed sessions with defaults, ``problems`` and ``accepted``; the key, if there is one, stays null where it is missing.
+
+    Write or persist the result before its rows are filtered: a filter pushed below the casts would repeat them many times.
+    """
     values, problems = [], []
 
     def cast(c: str, kind: str, value: Column, reason: str) -> None:

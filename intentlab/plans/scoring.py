@@ -92,7 +92,8 @@ def score_request(spark: SparkSession, sessions: list[dict], model: PipelineMode
     if not sessions:
         raise RequestRejected("sessions list must not be empty")
     rows = [(json.dumps({S.KEY: i, **s}, default=str),) for i, s in enumerate(sessions)]
-    checked = intake.typed(intake.cells_from_json(spark.createDataFrame(rows, "value string")))
+    # written once, so that the cells' expressions are not repeated in what follows
+    checked = materialize(intake.typed(intake.cells_from_json(spark.createDataFrame(rows, "value string"))), "request")
     bad = intake.rejected(checked)
     first = bad.limit(6).collect()  # for the message only; the exception carries all
     if first:
