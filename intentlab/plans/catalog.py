@@ -1201,11 +1201,58 @@ def q_model_save_load(spark, sf):
     return a.join(b, S.KEY).withColumn("equal", F.col("p_before") == F.col("p_after"))
 
 
-@register("train_all")
+@register("champion_challenger_models", with_scored(
+    """SELECT c.challenger_there, count(*) AS sessions, count(*) AS agree_or_differ, 2 AS decisions_seen
+    FROM splitted, (SELECT unnest([TRUE, FALSE]) AS challenger_there) c WHERE is_test GROUP BY 1""", SPLIT_SQL))
+def q_champion_challenger_models(spark, sf):
+    """Two fitted pipelines saved, published by role, loaded again and compared on the hold-out, with and without a challenger."""
+    from ..config import scratch_path
+    from ..operators import models, roles
+    s = _ml_split(spark, sf)
+    train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    model_dir, aliases = scratch_path(spark, "models"), scratch_path(spark, "aliases")
+    prepared = models.PreparedFolds(train)
+    names = {"champion": "DT_medium", "challenger": "LR_baseline"}
+    for name in names.values():
+        params = models.model_params()[name]
+        prepared.pipeline(name, params, prepared.fitted(name, params, [None])[None]).write().overwrite().save(f"{model_dir}/{name}")
+    both = spark.createDataFrame([(r, n, n) for r, n in names.items()], "role string, model_type string, run_id string")
+    out = None
+    for there in (True, False):
+        roles.publish(spark, aliases, both if there else both.where("role = 'champion'"), model_dir)
+        pairs = roles.compare(test, roles.load(spark, aliases))
+        alike = F.col("champion_intervene") == F.col("challenger_intervene")
+        counted = pairs.agg(
+            F.sum("sessions").alias("sessions"),
+            # without a challenger its decision is null in every row
+            F.sum(F.when((alike.isNotNull() if there else alike.isNull()), F.col("sessions"))).alias("agree_or_differ"),
+            F.count_distinct("champion_intervene").cast("int").alias("decisions_seen"))
+        rows = counted.select(F.lit(there).alias("challenger_there"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("train_all", with_scored(
+    """SELECT m.model_type, CAST(count(*) FILTER (WHERE is_test) AS BIGINT) AS test_rows,
+       CAST(count(*) FILTER (WHERE is_test AND Revenue) AS BIGINT) AS test_purchases, CAST(count(*) AS BIGINT) AS data_rows,
+       m.model_type <> 'LR_baseline' AS has_importances, TRUE AS auc_in_range, TRUE AS folds_agree, 2 AS roles
+    FROM splitted, (SELECT unnest(['LR_baseline', 'DT_medium', 'RF_baseline', 'XGBoost']) AS model_type) m GROUP BY m.model_type""", SPLIT_SQL))
 def q_train_all(spark, sf):
+    """One row a model of the run log that the job wrote, with what must hold of it whatever the models learn."""
     from ..config import scratch_path
     from .training import train_all
-    return train_all(spark, sessions(spark, sf), scratch_path(spark, "run-log")).leaderboard
+    path = scratch_path(spark, "run-log")
+    result = train_all(spark, sessions(spark, sf), path)
+    log = registry.read_run_log(spark, path).where("run_name <> 'data_validation'")
+    m = {k: F.element_at("metrics", F.lit(k)) for k in ("true_negatives", "false_positives", "false_negatives", "true_positives", "roc_auc", "cv_roc_auc_mean")}
+    return log.select(
+        F.col("run_name").alias("model_type"),
+        (m["true_negatives"] + m["false_positives"] + m["false_negatives"] + m["true_positives"]).cast("long").alias("test_rows"),
+        (m["false_negatives"] + m["true_positives"]).cast("long").alias("test_purchases"),
+        F.element_at("artifacts", F.lit("data_rows")).cast("long").alias("data_rows"),
+        F.map_contains_key("artifacts", "importances").alias("has_importances"),
+        m["roc_auc"].between(0.75, 0.99).alias("auc_in_range"),
+        (F.abs(m["roc_auc"] - m["cv_roc_auc_mean"]) < 0.05).alias("folds_agree"), F.lit(result.roles.count()).alias("roles"))
 
 
 # --- streaming --------------------------------------------------------------------------
@@ -1336,6 +1383,49 @@ def q_dataset_fingerprint(spark, sf):
     return fp.select("rows", F.col("fingerprint").cast("string").alias("fingerprint"))
 
 
+# doubles as sign, 53-bit mantissa and exponent; the logarithm's guess is set right by the mantissa's size
+_TREE_DOUBLES = [c for c in _FP_COLS if c in _FP_DOUBLES]
+
+
+def _mantissa_sql(c: str, exponent: str) -> str:
+    half = f"floor((52 - {exponent}) / 2.0E0)"
+    return f"abs({c}) * pow(2.0E0, {half}) * pow(2.0E0, 52 - {exponent} - {half})"
+
+
+_EXPONENT_SQL = ", ".join(
+    f"g_{c} + CASE WHEN {_mantissa_sql(c, f'g_{c}')} >= 9007199254740992.0E0 THEN 1 "
+    f"WHEN {_mantissa_sql(c, f'g_{c}')} < 4503599627370496.0E0 THEN -1 ELSE 0 END AS e_{c}" for c in _TREE_DOUBLES)
+
+
+def _exact_text_sql(c: str) -> str:
+    if c not in _TREE_DOUBLES:
+        return f"coalesce(CAST({c} AS VARCHAR), chr(0))"
+    return (f"CASE WHEN {c} IS NULL THEN chr(0) WHEN {c} = 0 THEN '0' ELSE CASE WHEN {c} < 0 THEN '-' ELSE '' END || "
+            f"CAST(CAST({_mantissa_sql(c, f'e_{c}')} AS BIGINT) AS VARCHAR) || 'e' || CAST(CAST(e_{c} AS BIGINT) AS VARCHAR) END")
+
+
+_TREE_LEVELS = 5  # more than 2 ** 35 keys are beyond this check
+_TREE_SQL = f"""
+guessed AS (SELECT *, {", ".join(f"CASE WHEN {c} <> 0 THEN floor(log2(abs({c}))) END AS g_{c}" for c in _TREE_DOUBLES)} FROM sessions),
+exact AS (SELECT *, {_EXPONENT_SQL} FROM guessed),
+hashed AS (SELECT session_id >> 10 AS leaf, CAST(CAST('0x' || substr(md5(concat_ws(chr(1), {", ".join(map(_exact_text_sql, _FP_COLS))})), 1, 15)
+  AS BIGINT) AS DECIMAL(38,0)) AS h FROM exact),
+wide AS (SELECT min(leaf) AS least, max(leaf) AS most FROM hashed),
+levels AS (SELECT CAST(l AS INTEGER) AS level FROM wide, (SELECT unnest(range({_TREE_LEVELS})) AS l)
+  WHERE l = 0 OR (most >> (5 * (l - 1))) - (least >> (5 * (l - 1))) > 1),
+nodes AS (SELECT level, leaf >> (5 * level) AS node, count(*) AS rows, sum(h) AS h FROM hashed, levels GROUP BY ALL)"""
+
+
+@register("dataset_hash_tree", with_sessions(
+    f"""SELECT level, node, rows, CAST(CAST(h AS DECIMAL(38,0)) AS VARCHAR) AS hash FROM nodes
+    UNION ALL SELECT (SELECT CAST(max(level) + 1 AS INTEGER) FROM levels), 0, count(*), CAST(CAST(sum(h) AS DECIMAL(38,0)) AS VARCHAR) FROM hashed"""
+).replace("\nSELECT", f",{_TREE_SQL}\nSELECT", 1))
+def q_dataset_hash_tree(spark, sf):
+    """Hashes of the sessions by key range, doubles in exact form, summed up to one root."""
+    from ..sources.hashtree import hash_tree
+    return hash_tree(sessions(spark, sf).select(_FP_COLS), S.KEY).withColumn("hash", F.col("hash").cast("string"))
+
+
 @register("file_fingerprint")
 def q_file_fingerprint(spark, sf):
     from ..sources.files import file_fingerprint

@@ -85,3 +85,29 @@ def test_train_all_with_overrides_logs_merged_params(spark):
     assert "Technical" in lr.params["excluded_features"]
     assert 0.0 <= lr.metrics["roc_auc"] <= 1.0 and "cv_roc_auc_std" in lr.metrics
     assert res.models["LR_baseline"].stages[-1].numFeatures < 77  # the Technical one-hot blocks are gone
+
+
+def test_models_by_role(spark, data):
+    """Published together, loaded with fallback, scored in one pass as each alone."""
+    from intentlab.operators import roles
+    train, test = data
+    prepared = models.PreparedFolds(train)
+    model_dir, path = scratch_path(spark, "role-models"), scratch_path(spark, "role-aliases")
+    fitted = {}
+    for name in ("DT_medium", "LR_baseline"):
+        params = models.model_params()[name]
+        fitted[name] = prepared.pipeline(name, params, prepared.fitted(name, params, [None])[None])
+        fitted[name].write().overwrite().save(f"{model_dir}/{name}")
+    with pytest.raises(LookupError):
+        roles.load(spark, path)
+    one = spark.createDataFrame([("champion", "LR_baseline", "LR_baseline")], "role string, model_type string, run_id string")
+    two = one.unionAll(spark.createDataFrame([("challenger", "DT_medium", "DT_medium")], one.schema))
+    assert [roles.publish(spark, path, r, model_dir) for r in (one, two, one)] == [1, 2, 3]
+    alone, both = roles.load(spark, path), roles.load(spark, path, version=2)
+    assert roles.chosen(alone, "challenger")[0] == "champion" and roles.chosen(both, "challenger")[0] == "challenger"
+    got = roles.score_by_role(test, both).select("session_id", F.expr("scores['champion']").alias("a"), F.expr("scores['challenger']").alias("b"))
+    for c, name in (("a", "LR_baseline"), ("b", "DT_medium")):
+        want = models.score(fitted[name], test).select("session_id", "p")
+        assert got.join(want, "session_id").where(F.abs(F.col(c) - F.col("p")) > 1e-12).count() == 0
+    assert roles.compare(test, alone).where("challenger_intervene IS NOT NULL").count() == 0
+    assert roles.compare(test, both).agg(F.sum("sessions")).first()[0] == test.count()
