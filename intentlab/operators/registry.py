@@ -236,7 +236,12 @@ def write_threshold(spark: SparkSession, path: str, mode: str, lower: float, upp
     return versioned.append(row.coalesce(1), path)
 
 
-def read_threshold(spark: SparkSession, path: str, batch: int | None = None, version: int | None = None) -> dict:
+def read_threshold(spark: SparkSession, path: str) -> dict:
+    """The newest config (mode, lower, upper); scoring defaults when nothing is stored."""
+    return {k: v for k, v in valid_threshold(spark, path).items() if k != "version"}
+
+
+def valid_threshold(spark: SparkSession, path: str, batch: int | None = None, version: int | None = None) -> dict:
     """The row valid at ``batch`` (the newest of all, if None), with its version.
 
     Valid is the row of largest ``valid_from`` up to the batch; of several, the latest appended. ``version`` reads one version

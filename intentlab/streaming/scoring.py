@@ -53,11 +53,11 @@ def pinned_threshold(spark: SparkSession, threshold_path: str, sink_dir: str, ep
     pin = f"{sink_dir}/_thresholds/{epoch}"
     kept = versioned.read_text(spark, pin)
     if not kept:
-        found = registry.read_threshold(spark, threshold_path, epoch)["version"]
+        found = registry.valid_threshold(spark, threshold_path, epoch)["version"]
         versioned.create_if_absent(spark, pin, str(found))
         kept = versioned.read_text(spark, pin)
     version = int(kept)
-    return registry.read_threshold(spark, threshold_path, version=version) if version else {**S.SCORING_THRESHOLD, "version": 0}
+    return registry.valid_threshold(spark, threshold_path, version=version) if version else {**S.SCORING_THRESHOLD, "version": 0}
 
 
 def stream_with_threshold_reload(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,

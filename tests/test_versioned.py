@@ -74,14 +74,14 @@ def test_versions_never_change_later(spark):
 
 def test_threshold_rows_by_batch(spark):
     path = scratch_path(spark, "thresholds")
-    assert registry.read_threshold(spark, path, 3) == {**S.SCORING_THRESHOLD, "version": 0}
+    assert registry.valid_threshold(spark, path, 3) == {**S.SCORING_THRESHOLD, "version": 0}
     registry.write_threshold(spark, path, "range", 0.2, 0.6, valid_from=5)
-    assert registry.read_threshold(spark, path, 4)["version"] == 0 and registry.read_threshold(spark, path, 5)["version"] == 1
+    assert registry.valid_threshold(spark, path, 4)["version"] == 0 and registry.valid_threshold(spark, path, 5)["version"] == 1
     registry.write_threshold(spark, path, "lower", 0.4, 0.7)
-    assert [registry.read_threshold(spark, path, b)["version"] for b in (0, 4, 5, 9)] == [2, 2, 1, 1]
+    assert [registry.valid_threshold(spark, path, b)["version"] for b in (0, 4, 5, 9)] == [2, 2, 1, 1]
     registry.write_threshold(spark, path, "lower", 0.5, 0.7, valid_from=5)
-    assert registry.read_threshold(spark, path, 9)["lower"] == 0.5
-    assert registry.read_threshold(spark, path)["version"] == 3 and registry.read_threshold(spark, path, version=1)["upper"] == 0.6
+    assert registry.valid_threshold(spark, path, 9)["lower"] == 0.5
+    assert registry.valid_threshold(spark, path)["version"] == 3 and registry.valid_threshold(spark, path, version=1)["upper"] == 0.6
 
 
 def test_a_batch_that_runs_again_keeps_its_threshold(spark):
