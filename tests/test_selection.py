@@ -97,3 +97,22 @@ def test_moments_merge_like_one_pass():
     assert whole.n == 999 and whole.mean == pytest.approx(x.mean(), rel=1e-12)
     assert whole.squares == pytest.approx(((x - x.mean()) ** 2).sum(), rel=1e-8)
     assert foldcube.Moments() + foldcube.Moments() == foldcube.Moments()
+
+
+def test_a_row_has_one_entry_a_column_however_many_slots(spark):
+    """Overlapping unions of groups with unlike values, in one counting pass whose rows do not grow with the unions."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    g, x, z = rng.integers(0, 5, 4000), rng.normal(size=4000), rng.integers(0, 7, 4000) * 1.0
+    x = x + 100.0 * (g == 2)
+    df = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(g, x, z)], "g int, x double, z double").repartition(3)
+    unions = [tuple(f for f in range(5) if f != k) for k in range(5)] + [(2,), None]
+    slots = [selection.Slot(c, u) for u in unions for c in ("x", "z")]
+    got = selection.exact_quantiles(df, slots, 0.5, "g")
+    want = [float(np.median((x if s.column == "x" else z)[np.isin(g, s.groups if s.groups is not None else range(5))])) for s in slots]
+    assert got == pytest.approx(want, abs=0)
+    inside = selection._inside(df, "g", slots, {i: (-1.0, 1.0) for i in range(len(slots))})
+    # explodes before the first aggregation: one, over the columns
+    plan = inside._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("Aggregate"):]
+    assert below.count("Generate") == 1
