@@ -26,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from intentlab.config import scratch_path
+from intentlab.config import materialize, scratch_path
 from intentlab.llm import langid, mixing, neardup, spm, toxicity
 
 LEAST_LANGUAGE_SCORE = 0.4
@@ -88,6 +88,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     at_least = [F.sum((F.col("copies") >= k).cast("long")) for k in range(1, mixing.MAX_COPIES + 1)]
     taken = taken.groupBy("doc_id", h, "source").agg(F.count("*").alias(rows_n), F.array(*at_least).alias(taken_n)).where(F.col(taken_n)[0] > 0)
     taken = taken.select(F.col("doc_id").alias(key), F.col(h).alias(digest), F.col("source").alias(source), rows_n, taken_n)
+    # read twice below: a written table has a short plan, so the driver need not plan and compile the mix once more
+    taken = materialize(taken, "mix-taken")
     met = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest)) & F.col("source").eqNullSafe(F.col(source))
     rows = docs.join(taken, met)
     kept = [*docs.columns, digest, taken_n]

@@ -85,6 +85,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
     targets = source_targets(rows, share, weights, max_copies)
     means = rows.groupBy("source").agg((F.sum(F.col("_w") * F.col("size")) / F.sum("size")).alias("_mean"))
     targets = targets.join(means.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # one row a source; written, so that the plans of the passes below do not hold its windows again and again
+    targets = materialize(targets, "mix-targets")
 
     rate = F.col("target") / F.col("source_size")
     relative = F.when(F.col("_mean") > 0, F.col("_w") / F.col("_mean")).otherwise(F.lit(1.0))
@@ -99,7 +101,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
     # Q / (1 + Q) maps ranks to (0, 1) and keeps their order
     top = 2 ** (LEVELS * DIGIT) - 1
     rows = rows.withColumn("_cell", F.least(F.floor(F.col("_rank") / (1 + F.col("_rank")) * (top + 1)), F.lit(top)).cast("long"))
-    return _take(rows, keep)
+    return _take(materialize(rows.drop("_w", "_mean", "_expected", "_p", "_u"), "mix-ranked"), keep)
 
 
 def _take(rows: DataFrame, keep: tuple) -> DataFrame:
