@@ -16,7 +16,12 @@
    most frequent altogether (the text that its copies come from), and each node
    meets the ``HUBS`` hubs with which it collides most. A group of thousands of
    copies of one text thus makes ``HUBS`` pairs a copy.
-   Second pass: any two nodes of one posting list that are not yet
+   Drawn passes: a copy too far from the hubs mostly has links to other copies. Of each
+   posting list's largest component ``DRAWS`` nodes are drawn by hash, and each node of
+   another component meets ``DRAWN`` of those it collides with, in up to
+   ``ROUNDS`` rounds of new draws, until less than one pair in ``YIELD`` is a link. A group that
+   hangs together grows into one component this way, on pairs in proportion to its nodes.
+   Last pass: any two nodes of one posting list that are still not
    in one component, so that no link between components is
    lost and none is sought inside one. In lists of up to ``LIGHT`` nodes
    these pairs are joined as they are. The nodes of longer lists are joined
@@ -56,6 +61,10 @@ COORDS = 40
 MATCHES = 18
 LIGHT = 64
 HUBS = 3
+DRAWS = 2
+DRAWN = 8
+ROUNDS = 4
+YIELD = 100
 FACTORS = mixed(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 TAGS = np.arange(COORDS, dtype=np.int64) << 32
 
@@ -129,10 +138,27 @@ def _pairs(lists: DataFrame, key: str, percent: int) -> DataFrame:
     return a.join(b, key).where(met).select("a", "b").distinct()
 
 
-def _most(met: DataFrame) -> DataFrame:
+def _most(met: DataFrame, several: int) -> DataFrame:
     """The hubs ``b`` that a node met most often; a node is in no more lists than a signature has coordinates."""
     w = Window.partitionBy("node").orderBy(F.desc("hits"), "b")
-    return met.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= HUBS).select(F.col("node").alias("a"), "b")
+    return met.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= several).select(F.col("node").alias("a"), "b")
+
+
+def _across(posted: DataFrame, groups: DataFrame) -> DataFrame:
+    """The posting lists that hold nodes of several components: token, node, n, root, list (its length)."""
+    placed = posted.join(groups, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("list"))
+    return materialize(placed.join(several.where("lo < hi").select("token", "list"), "token"), "dup-placed")
+
+
+def _drawn(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of a node and nodes drawn from the largest component of a list they share, which is not the node's own."""
+    draws = [F.min(F.struct(F.xxhash64("token", "node", F.lit(DRAWS * turn + k)).alias("h"), "node", "n")) for k in range(DRAWS)]
+    largest = placed.groupBy("token", "root").agg(F.count("*").alias("size"), F.array(*draws).alias("hubs"))
+    largest = largest.groupBy("token").agg(F.max_by(F.struct("root", "hubs"), F.struct("size", "root")).alias("l"))
+    met = placed.join(largest, "token").where("root <> l.root").select("node", "n", F.explode("l.hubs").alias("hub"))
+    met = met.where(_sizes_allow(F.col("n"), F.col("hub.n"), percent))
+    return _most(met.groupBy("node", F.col("hub.node").alias("b")).agg(F.count("*").alias("hits")), DRAWN)
 
 
 def _by_shingles(heavy: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -194,12 +220,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
            .groupBy("node", "hub").agg(F.count("*").alias("hits"), F.min("n").alias("n")))
     met = met.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b")),
                    F.col("hub").bitwiseAND(F.lit((1 << 50) - 1)) == F.col("b")).where(_sizes_allow(F.col("n"), F.col("n_b"), percent))
-    links = _confirm(_most(met), nodes, texts, words, percent)
-    near = components(links, "a", "b")
-    placed = posted.join(near, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    links = _confirm(_most(met, HUBS), nodes, texts, words, percent)
     # lists inside one component have nothing left to find
-    several = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("list"))
-    placed = materialize(placed.join(several.where("lo < hi").select("token", "list"), "token"), "dup-placed")
+    placed = _across(posted, components(links, "a", "b"))
+    for turn in range(ROUNDS):
+        pairs = materialize(_drawn(placed, turn, percent), "dup-drawn")
+        found = _confirm(pairs, nodes, texts, words, percent)
+        n = found.count()
+        if n:
+            links = links.unionByName(found)
+            placed = _across(placed.select("token", "node", "n"), components(links, "a", "b"))
+        if YIELD * n < pairs.count() or not n:
+            break
     heavy = placed.where(F.col("list") > LIGHT).select("node", "n", "root").distinct()
     across = _pairs(placed.where(F.col("list") <= LIGHT), "token", percent).unionByName(
         _by_shingles(heavy, nodes, texts, words, percent)).distinct()
