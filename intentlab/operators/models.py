@@ -113,19 +113,24 @@ class PenalisedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable)
 
     sklearn minimises C * sum(w * loss) + |b|^2 / 2; Spark minimises
     sum(w * loss) / sum(w) + regParam * |b|^2 / 2. Features are already
-    standardised, so Spark's own standardisation is off.
+    standardised, so Spark's own standardisation is off. Features are written
+    once before the solver, which reads them twice and would derive them each time;
+    ``written`` says that they come from a written table already.
     """
 
     C = Param(Params._dummy(), "C", "inverse regularisation strength", TypeConverters.toFloat)
     maxIter = Param(Params._dummy(), "maxIter", "iterations", TypeConverters.toInt)
+    written = Param(Params._dummy(), "written", "the rows are a written table", TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, *, C=1.0, maxIter=1000):
+    def __init__(self, *, C=1.0, maxIter=1000, written=False):
         super().__init__()
-        self._setDefault(C=1.0, maxIter=1000)
+        self._setDefault(C=1.0, maxIter=1000, written=False)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame):
+        if not self.getOrDefault(self.written):
+            df = materialize(df.select("features", "label", "weight"), "logistic-rows")
         total_w = df.agg(F.sum("weight")).first()[0] or 1.0
         lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                                 maxIter=self.getOrDefault(self.maxIter), elasticNetParam=0.0,
@@ -208,6 +213,8 @@ class PreparedFolds:
             rows = self.weighter(k, name, params).transform(self.tables[k])
             sets.append(rows if k is None else rows.where(F.col(self.fold_col) != k))
         classifier = build_classifier(name, params)
+        if isinstance(classifier, PenalisedLogistic):
+            classifier.set(classifier.written, True)
         if hasattr(classifier, "fit_many"):  # grown in the same jobs
             return dict(zip(left_out, classifier.fit_many(sets)))
         # each fit is a distributed job of its own; submitted together, their tasks interleave

@@ -31,11 +31,12 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def hash_bucket(hex_digest: Column, digits: int = 5) -> Column:
+def hash_bucket(hex_digest: Column, digits: int = 4) -> Column:
     """Bucket id from the leading hex digits of a uniform digest (monotone in it).
 
-    5 digits = 1,048,576 buckets: about a million rows per window partition
-    at 10^12 rows, and a bucket-totals table of at most 2^20 rows per group.
+    4 digits = 65,536 buckets: about a million rows per window partition at
+    6 * 10^10 rows, and a bucket-totals table of at most 2^16 rows per group,
+    which one task a group sums and the join can broadcast.
     """
     return F.conv(F.substring(hex_digest, 1, digits), 16, 10).cast("long")
 

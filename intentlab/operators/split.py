@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..config import materialize
 from ..functions import columns as C
 from .ranking import hash_bucket, row_number_by
 
@@ -26,8 +27,10 @@ def assign_split(df: DataFrame, label: str = "label", test_size: float = S.TEST_
     """W1 + W2: adds ``is_test`` and ``fold`` (null for test rows).
 
     The class sizes come with the ranking (from its small bucket-totals
-    table), so no separate counting pass or join is needed.
+    table), so no separate counting pass or join is needed. The rows are written
+    first, so that ranking and bucket totals do not derive them twice.
     """
+    df = materialize(df, "split-rows")
     hashed = df.withColumn("_h", C.hash_order(key, seed)).withColumn("_hb", hash_bucket(F.col("_h")))
     ranked = row_number_by(hashed, [F.col("_h"), F.col(key)], by=[label], out="_rk", bucket="_hb",
                            with_group_size=True)

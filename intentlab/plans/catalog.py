@@ -1040,10 +1040,16 @@ def _fit_eval(spark, sf, name: str, overrides: dict | None = None):
     return model, models.score(model, test), test
 
 
+def _written_scores(scored_test):
+    """What the hold-out measures read, written once: they pass over it several times."""
+    from ..config import materialize
+    return materialize(scored_test.select("label", "p", "prediction"), "holdout-scores")
+
+
 def _holdout_row(spark, sf, name):
     from ..operators import models
     _, scored_test, _ = _fit_eval(spark, sf, name)
-    return models.evaluate_holdout(scored_test).select(F.lit(name).alias("model_type"), "*")
+    return models.evaluate_holdout(_written_scores(scored_test)).select(F.lit(name).alias("model_type"), "*")
 
 
 @register("train_logistic")
@@ -1160,7 +1166,7 @@ def q_train_boosted_second_order(spark, sf):
 def q_evaluate_holdout(spark, sf):
     from ..operators import models
     _, scored_test, _ = _fit_eval(spark, sf, "LR_baseline")
-    return models.evaluate_holdout(scored_test, models.threshold_options())
+    return models.evaluate_holdout(_written_scores(scored_test), models.threshold_options())
 
 
 @register("feature_importance")
