@@ -52,8 +52,9 @@ def uniform(seed: str, *keys: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, share: float = SHARE, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """source, source_size, weight, target. ``sizes``: (source, size). Works on one row per source."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """source, source_size, weight, target and ``_mean``, if there. ``sizes``: (source, size). Works on one row per source."""
+    kept = [c for c in ("_mean",) if c in sizes.columns]
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), *[F.first(c).alias(c) for c in kept])
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     per = per.withColumn("_k", F.row_number().over(by_name) - 1)
     per = per.withColumn("weight", F.element_at(F.array(*[F.lit(int(w)) for w in weights]),
@@ -70,7 +71,7 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights=WEIGHTS, max_
     # the level of the first free source: behind it the levels, reckoned with caps that do not bind, only fall
     per = per.withColumn("_common", F.max(F.when(F.col("_free"), F.col("_level"))).over(every))
     target = F.when(F.col("_free"), F.col("weight") * F.col("_common")).otherwise(F.col("_cap").cast("double"))
-    return per.select("source", "source_size", "weight", target.cast("double").alias("target"))
+    return per.select("source", "source_size", "weight", target.cast("double").alias("target"), *kept)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None,
@@ -82,9 +83,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"),
                        w.alias("_w"), *keep).withColumn("_at", F.monotonically_increasing_id())
     rows = materialize(rows, "mix-sizes")  # the texts are read once; every later pass reads sizes
-    targets = source_targets(rows, share, weights, max_copies)
-    means = rows.groupBy("source").agg((F.sum(F.col("_w") * F.col("size")) / F.sum("size")).alias("_mean"))
-    targets = targets.join(means.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    sums = rows.groupBy("source").agg((F.sum(F.col("_w") * F.col("size")) / F.sum("size")).alias("_mean"), F.sum("size").alias("size"))
+    targets = source_targets(sums, share, weights, max_copies)
     # one row a source; written, so that the plans of the passes below do not hold its windows again and again
     targets = materialize(targets, "mix-targets")
 
@@ -113,11 +113,12 @@ def _take(rows: DataFrame, keep: tuple) -> DataFrame:
         shift = DIGIT * (LEVELS - 1 - level)
         here = drawn.join(cut, F.col("source").eqNullSafe(F.col("_s")) &
                           (F.shiftright("_cell", shift + DIGIT) == F.col("_prefix")))
-        sums = here.groupBy("_s", F.shiftright("_cell", shift).alias("_digit")).agg(F.sum("size").alias("_n"))
+        # what the cut says of a source goes along: a second join would be one more broadcast in the driver's memory
+        sums = here.groupBy("_s", F.shiftright("_cell", shift).alias("_digit")).agg(
+            F.sum("size").alias("_n"), F.first("_left").alias("_left"), F.first("_before").alias("_before"))
         w = Window.partitionBy("_s").orderBy("_digit")
         # at most 256 digits a source; the cut is in the last one that begins within what is left
-        sums = sums.join(cut.withColumnRenamed("_s", "_c"), F.col("_s").eqNullSafe(F.col("_c"))).drop("_c").withColumn(
-            "_begin", F.col("_before") + F.sum("_n").over(w) - F.col("_n"))
+        sums = sums.withColumn("_begin", F.col("_before") + F.sum("_n").over(w) - F.col("_n"))
         sums = sums.where("_begin <= _left").withColumn("_last", F.max("_digit").over(Window.partitionBy("_s")))
         found = sums.where("_digit = _last").select("_s", "_left", F.col("_digit").alias("_prefix"), F.col("_begin").alias("_before"))
         cut = materialize(found, "mix-cut")
